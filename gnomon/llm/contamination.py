@@ -102,7 +102,8 @@ def leaks_in(ids: np.ndarray, hit: np.ndarray, index: Index) -> list[tuple]:
         equal = ids[a:b] == t[a - shift : b - shift]
         found = [("exact", x, y) for x, y in exact_runs(equal)]
         if (w := loose_window(equal)) is not None:
-            found.append(("loose", *w))
+            right = np.flatnonzero(equal[w[0] : w[1]])  # report it from its first to its last right word
+            found.append(("loose", w[0] + int(right[0]), w[0] + int(right[-1]) + 1))
         item, field = index.owner[which]
         for kind, x, y in found:
             best[item, field, a + x, a + y] = (item, index.fields[field], kind, y - x, int((~equal[x:y]).sum()), a + x, a + y)
@@ -129,7 +130,7 @@ def _scan(texts: Sequence[str | None], index: Index) -> Iterator[tuple[int, str,
     hit = np.flatnonzero(index.hashes[place] == h)
     doc = np.searchsorted(ends, hit, "right") - 1
     for d in np.unique(doc):
-        found = leaks_in(parts[d], hit[doc == d] - ends[d], index)
+        found = leaks_in(parts[d][:-SEED], hit[doc == d] - ends[d], index)
         if found:
             yield int(d), texts[d], found
 

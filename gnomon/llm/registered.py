@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .contamination import find_leaks, remove_leaks
+from .mixing import mix_sources, short_sources
 
 
 def table(spark, sf, name):
@@ -21,5 +24,34 @@ def p7_without_leaks(spark, sf):
     return remove_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaked_spans": p7_leaked_spans, "p7_without_leaks": p7_without_leaks}
-ORACLES: dict[str, str] = {}
+def _mix(spark, sf, **how):
+    return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), **how)
+
+
+def p8_found(spark, sf):
+    return short_sources(_mix(spark, sf, total="corpus"))
+
+
+def p8_mix_report(spark, sf):
+    return _mix(spark, sf).plan
+
+
+def p8_mix(spark, sf):
+    return _mix(spark, sf).documents.select("doc_id", "source", "tokens", "rate", "copies")
+
+
+def p8_mix_by_text_alone(spark, sf):
+    """Domains by the classifier only: what the fit does where no source is recorded."""
+    return _mix(spark, sf, label_trust=0.0, total="corpus").plan.select("source", "target_weight", "target_tokens", "domain_tokens", F.round("expected_tokens", 3).alias("expected_tokens"))
+
+
+QUERIES = {
+    "p7_found": p7_found, "p7_leaked_spans": p7_leaked_spans, "p7_without_leaks": p7_without_leaks,
+    "p8_found": p8_found, "p8_mix_report": p8_mix_report, "p8_mix": p8_mix, "p8_mix_by_text_alone": p8_mix_by_text_alone,
+}
+ORACLES: dict[str, str] = {
+    # any common token count gives the same list; SQL has characters
+    "p8_found": """WITH size AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY source)
+SELECT t.source FROM mix_targets t LEFT JOIN size s ON s.source = t.source
+WHERE coalesce(s.n, 0) * t.max_repeats < t.target_weight * (SELECT sum(n_chars) FROM documents)""",
+}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship
 from .words import spans, words
 
 #: Successive words that make a case when all agree.
@@ -161,6 +162,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Repeated documents are each reported; repeated item ids are one item.
     """
     spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema[doc_id].dataType
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("field", T.StringType()), T.StructField("kind", T.StringType())]
@@ -199,6 +201,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, how: str = "spans", doc_id:
     if how not in ("spans", "documents"):
         raise ValueError(f"how must be 'spans' or 'documents', not {how!r}")
     spark = docs.sparkSession
+    ship(spark)
     out = docs
     for index in _blocks(items, item_id, fields, block_chars):
         shared = spark.sparkContext.broadcast(index)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .contamination import find_leaks, remove_leaks
 from .mixing import mix_sources, short_sources
+from .mojibake import find_garbled
 
 
 def table(spark, sf, name):
@@ -45,9 +46,18 @@ def p8_mix_by_text_alone(spark, sf):
     return _mix(spark, sf, label_trust=0.0, total="corpus").plan.select("source", "target_weight", "target_tokens", "domain_tokens", F.round("expected_tokens", 3).alias("expected_tokens"))
 
 
+def p9_found(spark, sf):
+    return find_garbled(table(spark, sf, "documents")).select("doc_id")
+
+
+def p9_restored(spark, sf):
+    return find_garbled(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "p7_found": p7_found, "p7_leaked_spans": p7_leaked_spans, "p7_without_leaks": p7_without_leaks,
     "p8_found": p8_found, "p8_mix_report": p8_mix_report, "p8_mix": p8_mix, "p8_mix_by_text_alone": p8_mix_by_text_alone,
+    "p9_found": p9_found, "p9_restored": p9_restored,
 }
 ORACLES: dict[str, str] = {
     # any common token count gives the same list; SQL has characters

@@ -67,3 +67,9 @@ def ship(spark: SparkSession) -> None:
     atexit.register(_remove, spark, path)
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def over_cores(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input that comes in fewer pieces than there are cores, for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

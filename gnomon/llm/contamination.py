@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import over_cores, ship
 from .words import spans, words
 
 #: Successive words that make a case when all agree.
@@ -182,7 +182,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     rows += [(keys[d], *r, where[r[5]][0], where[r[6] - 1][1]) for r in found]
                 yield pd.DataFrame(rows, columns=names)
 
-        one = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).mapInPandas(scan, schema)
+        one = over_cores(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))).mapInPandas(scan, schema)
         all_ = one if all_ is None else all_.unionByName(one)
     return all_.dropDuplicates(["doc_id", "item_id", "field", "start_char", "end_char"]) if _repeated(items, item_id) else all_
 
@@ -224,5 +224,5 @@ def remove_leaks(docs: DataFrame, items: DataFrame, how: str = "spans", doc_id:
                     b = b.drop(index=b.index[drop])
                 yield b
 
-        out = out.mapInPandas(cut, docs.schema)
+        out = over_cores(out).mapInPandas(cut, docs.schema)
     return out

@@ -65,10 +65,11 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
         *COORDINATES, F.col(source).alias("_s"), F.col("timestamp").cast("bigint").alias("_t"), F.col("value").cast("double").alias("_v")
     )
     part = [*src, "_chunk"]
-    cut = spread(r, src, floor_div(F.col("_t"), HOUR_MS), rows_per_chunk, 256).groupBy(*part, "_t", "_v").agg(F.min("_halo").alias("_halo"))
+    # one exchange of the readings, by source and chunk; copies, runs, baselines and hours then fold where they lie
+    cut = spread(r, src, floor_div(F.col("_t"), HOUR_MS), rows_per_chunk, 256).repartition(*part).groupBy(*part, "_t", "_v").agg(F.min("_halo").alias("_halo"))
     lim = limits.groupBy(*COORDINATES).agg(F.max("value_low").alias("_low"), F.min("value_high").alias("_high"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in COORDINATES]
-    placed = cut.repartition(*part).alias("a").join(F.broadcast(lim.alias("b")) if _small(lim) else lim.alias("b"), on, "left").select("a.*", "b._low", "b._high")
+    placed = cut.alias("a").join(F.broadcast(lim.alias("b")) if _small(lim) else lim.alias("b"), on, "left").select("a.*", "b._low", "b._high")
     placed = placed.withColumn("_bad", F.isnan("_v") | F.coalesce(F.col("_v") < F.col("_low"), F.lit(False)) | F.coalesce(F.col("_v") > F.col("_high"), F.lit(False))).drop("_low", "_high")
 
     # runs of equal readings

@@ -95,20 +95,17 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
         F.count("*").alias("_all"), F.sum(F.when(F.col("_len") >= STUCK, 1).otherwise(0)).alias("_long"),
         F.max(F.when(F.col("_len") < STUCK, F.col("_len"))).alias("_short"),
     )
-    whole = hours.groupBy(*src).agg(
-        F.kll_merge_agg_double("_k").alias("_k"), F.sum("_n").alias("_n"), F.sum("_all").alias("_all"), F.sum("_long").alias("_long"), F.max("_short").alias("_short")
-    ).select(
-        *src, F.when(F.col("_n") >= 5, _scatter(F.col("_k"))).alias("_scatter"),
-        ((F.coalesce("_short", F.lit(0)) > OTHER_RUNS) | (F.col("_long") > SET_LEVEL_SHARE * F.col("_all"))).alias("_levels"),
+    whole, near_hours = Window.partitionBy(*src), Window.partitionBy(*src).orderBy("_hour").rangeBetween(-1, 1)
+    total, all_ = F.kll_merge_agg_double("_k").over(whole), F.sum("_all").over(whole)
+    long_, short = F.sum("_long").over(whole), F.coalesce(F.max("_short").over(whole), F.lit(0))
+    merged = hours.select(
+        *part, "_hour", total.alias("_whole"), F.sum("_n").over(whole).alias("_n"), ((short > OTHER_RUNS) | (long_ > SET_LEVEL_SHARE * all_)).alias("_levels"),
+        F.kll_merge_agg_double("_k").over(near_hours).alias("_near"), F.sum("_n").over(near_hours).alias("_near_n"),
     )
-    around = hours.withColumn("_at", F.explode(F.array(F.col("_hour") - 1, F.col("_hour"), F.col("_hour") + 1))).groupBy(*src, "_at").agg(
-        F.kll_merge_agg_double("_k").alias("_k"), F.sum("_n").alias("_n")
-    ).where(F.col("_n") >= CONTEXT).select(*src, "_at", _iqr(F.col("_k")).alias("_local"))
-    per_hour = hours.select(*part, "_hour")
-    local = _null_safe_join(per_hour.withColumnRenamed("_hour", "_at"), around, [*src, "_at"], "left")
-    scale = _null_safe_join(local, whole, src, "inner").groupBy(*part).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("_local").isNotNull(), F.struct("_at", "_local")))).alias("_locals"),
-        F.first("_scatter").alias("_scatter"), F.first("_levels").alias("_levels"),
+    local = F.when(F.col("_near_n") >= CONTEXT, F.struct("_hour", _iqr(F.col("_near"))))
+    scale = merged.groupBy(*part).agg(
+        F.map_from_entries(F.collect_list(local)).alias("_locals"), F.first("_levels").alias("_levels"),
+        F.first(F.when(F.col("_n") >= 5, _scatter(F.col("_whole")))).alias("_scatter"),
     )
     scaled = _null_safe_join(base, scale, part, "inner")
     here = F.try_element_at("_locals", F.col("_hour"))

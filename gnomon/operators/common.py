@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import write_scratch
+
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
@@ -31,7 +33,7 @@ def drop_copies(df: DataFrame, arrival: Iterable[str] = ARRIVAL) -> DataFrame:
     return df.select(*[c for c in df.columns if c.lower() not in skip]).distinct()
 
 
-def spread(df: DataFrame, source: list[str], bin_: Column, rows_per_chunk: int, halo: int) -> DataFrame:
+def spread(df: DataFrame, source: list[str], bin_: Column, rows_per_chunk: int, halo: int, counted: DataFrame | None = None) -> DataFrame:
     """Cut the rows of frequent sources into time chunks, each with a halo of its neighbours' rows.
 
     A window over a whole source is one task's work; where a source holds a third of all rows that
@@ -42,10 +44,11 @@ def spread(df: DataFrame, source: list[str], bin_: Column, rows_per_chunk: int,
 
     Adds ``_chunk`` INT and ``_halo`` BOOLEAN (true: only there for its neighbours' sake). Each row
     has exactly one place with ``_halo`` false. Sources below the limit stay whole in chunk 0.
-    The chunk table has one row per bin of a frequent source, never one per row.
+    The chunk table has one row per bin of a frequent source, never one per row. It is made first: where no
+    source is that frequent, the rows then need no join and so no exchange. ``counted``: rows to count instead
+    of those of ``df``, at least as many in every bin.
     """
-    df = df.withColumn("_bin", bin_)
-    by_bin = df.groupBy(*source, "_bin").agg(F.count("*").alias("_n"))
+    by_bin = (df if counted is None else counted).withColumn("_bin", bin_).groupBy(*source, "_bin").agg(F.count("*").alias("_n"))
     run = Window.partitionBy(*source).orderBy("_bin")
     all_ = Window.partitionBy(*source)
     cut = (
@@ -70,10 +73,13 @@ def spread(df: DataFrame, source: list[str], bin_: Column, rows_per_chunk: int,
             )
         ).alias("_places"),
     )
+    places = write_scratch(places, "chunks")
+    if places.isEmpty():
+        return df.withColumn("_chunk", F.lit(0)).withColumn("_halo", F.lit(False))
     keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*source, "_bin"]]
     whole = F.array(F.struct(F.lit(0).alias("_chunk"), F.lit(False).alias("_halo")))
-    joined = df.alias("a").join(places.alias("b"), keys, "left").select("a.*", F.explode(F.coalesce("b._places", whole)).alias("_p"))
-    return joined.select(*[c for c in df.columns if c != "_bin"], F.col("_p._chunk").alias("_chunk"), F.col("_p._halo").alias("_halo"))
+    joined = df.withColumn("_bin", bin_).alias("a").join(places.alias("b"), keys, "left").select("a.*", F.explode(F.coalesce("b._places", whole)).alias("_p"))
+    return joined.select(*df.columns, F.col("_p._chunk").alias("_chunk"), F.col("_p._halo").alias("_halo"))
 
 
 def explode_range(df: DataFrame, first: Column, last: Column, name: str, block: int = 4096) -> DataFrame:

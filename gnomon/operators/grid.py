@@ -43,7 +43,7 @@ def regular_grid(readings: DataFrame, grids: DataFrame, gap_limit: int = 5, sour
     )
     point = F.struct("_t", "_v")
     periods = placed.groupBy(*key, "_k").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
-    chunked = spread(periods, key, floor_div(-F.col("_k"), 256), rows_per_chunk, 1)
+    chunked = spread(periods, key, floor_div(-F.col("_k"), 256), rows_per_chunk, 1, counted=placed)
     run = Window.partitionBy(*key, "_chunk").orderBy(F.col("_k").desc())
     steps = chunked.withColumn("_next", F.lead(F.struct("_k", "_first")).over(run)).where("not _halo")
     until = F.coalesce(F.col("_next._k") + 1, F.col("_k"))

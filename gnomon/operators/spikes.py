@@ -60,16 +60,16 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
 
     Sources of more than ``rows_per_chunk`` rows are cut by time with a halo of 256 rows, so no task holds more.
     """
-    src = [*COORDINATES, "_s"]
+    keys = [f"_c{i}" for i in range(len(COORDINATES))]  # never null, so that plain equality keeps rows where they lie
+    src = [*keys, "_s"]
     r = readings.where(F.col("value").isNotNull() & F.col("timestamp").isNotNull() & F.col(source).isNotNull()).select(
-        *COORDINATES, F.col(source).alias("_s"), F.col("timestamp").cast("bigint").alias("_t"), F.col("value").cast("double").alias("_v")
+        *_never_null(), F.col(source).alias("_s"), F.col("timestamp").cast("bigint").alias("_t"), F.col("value").cast("double").alias("_v")
     )
     part = [*src, "_chunk"]
     # one exchange of the readings, by source and chunk; copies, runs, baselines and hours then fold where they lie
     cut = spread(r, src, floor_div(F.col("_t"), HOUR_MS), rows_per_chunk, 256).repartition(*part).groupBy(*part, "_t", "_v").agg(F.min("_halo").alias("_halo"))
-    lim = limits.groupBy(*COORDINATES).agg(F.max("value_low").alias("_low"), F.min("value_high").alias("_high"))
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in COORDINATES]
-    placed = cut.alias("a").join(F.broadcast(lim.alias("b")) if _small(lim) else lim.alias("b"), on, "left").select("a.*", "b._low", "b._high")
+    lim = limits.select(*_never_null(), "value_low", "value_high").groupBy(*keys).agg(F.max("value_low").alias("_low"), F.min("value_high").alias("_high"))
+    placed = cut.join(F.broadcast(lim) if _small(lim) else lim, keys, "left")
     placed = placed.withColumn("_bad", F.isnan("_v") | F.coalesce(F.col("_v") < F.col("_low"), F.lit(False)) | F.coalesce(F.col("_v") > F.col("_high"), F.lit(False))).drop("_low", "_high")
 
     # runs of equal readings
@@ -107,7 +107,7 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
         F.map_from_entries(F.collect_list(local)).alias("_locals"), F.first("_levels").alias("_levels"),
         F.first(F.when(F.col("_n") >= 5, _scatter(F.col("_whole")))).alias("_scatter"),
     )
-    scaled = _null_safe_join(base, scale, part, "inner")
+    scaled = base.join(scale, part)
     here = F.try_element_at("_locals", F.col("_hour"))
     scatter = F.when(here.isNotNull(), F.greatest(here, F.col("_scatter") / 2)).otherwise(F.col("_scatter"))
     fenced = scaled.withColumn("_fence", scatter * expand).withColumn("_out", F.coalesce(F.abs("_res") > F.col("_fence"), F.lit(False)))
@@ -126,14 +126,14 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     seconds = (F.col("_t") - F.col("_pt")) / 1000
     fast = F.lit(False) if max_rate is None else F.coalesce(F.abs(F.col("_v") - F.col("_pv")) > F.lit(max_rate) * F.col("_fence") * seconds, F.lit(False))
     return walked.where(own).select(
-        *COORDINATES, F.col("_s").alias(source), F.col("_t").alias("timestamp"), F.col("_v").alias("value"), F.col("_base").alias("baseline"), F.col("_fence").alias("fence"),
+        *[F.when(F.col(k) != "-", F.substr(k, F.lit(2))).alias(c) for c, k in zip(COORDINATES, keys)], F.col("_s").alias(source), F.col("_t").alias("timestamp"), F.col("_v").alias("value"), F.col("_base").alias("baseline"), F.col("_fence").alias("fence"),
         F.col("_bad").alias("impossible"), spike.alias("spike"), ((F.col("_len") >= STUCK) & ~F.col("_levels")).alias("stuck"), fast.alias("too_fast"),
     )
 
 
-def _null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    return a.alias("a").join(b.alias("b"), on, how).select("a.*", *[f"b.{c}" for c in b.columns if c not in keys])
+def _never_null() -> list[Column]:
+    """The coordinates as keys: '-' for null, else the text after a '+'."""
+    return [F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-")).alias(f"_c{i}") for i, c in enumerate(COORDINATES)]
 
 
 def _small(df: DataFrame, most: int = 8 << 20) -> bool:

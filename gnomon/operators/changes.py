@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import write_scratch
+
 PERSIST, DELETE, EVICT, DROP_METRIC, DROP_NAMESPACE = (
     "PersistedEntryAction", "DeleteAction", "EvictShardAction", "DeleteMetricAction", "DeleteNamespaceAction",
 )
@@ -70,11 +72,12 @@ def current_bits(state: DataFrame, salts: int = 16) -> DataFrame:
     Removals are matched by equality joins. A shard range goes, by its width, to the one or two
     power-of-two buckets of time that it meets; a bit asks at the levels its metric has. Scope rows are repeated
     over ``salts`` and bits salted by id, so that a metric with most of the bits is spread over tasks;
-    where scopes are few, the planner broadcasts them by its own size threshold instead.
+    where scopes are few, the planner broadcasts them by its own size threshold instead. The folded scopes are
+    written to the shared folder first, so the feed is read two times, not four, and their size is known.
     """
     seq = F.struct("ts", "entry_no")
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    scopes = state.where("kind <> 'bit'")
+    scopes = write_scratch(state.where("kind <> 'bit'"), "scopes")  # read three times below, folded once
     spaces = scopes.where("kind = 'namespace'").groupBy("db", "namespace").agg(F.max(seq).alias("_space")).select("*", salt)
     level = _class(F.col("hi") - F.col("lo"))
     shards = scopes.where("kind = 'shard' and lo < hi").withColumn("_level", level)

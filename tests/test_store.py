@@ -139,6 +139,25 @@ def test_late_records_publish_their_window_again(engine, ns):
     assert out == [(5101, 5110, 10), (5100, 5110, 11)]
 
 
+def test_records_beyond_the_grace_period_are_dropped(engine, ns):
+    def put(times):
+        df = engine.spark.createDataFrame([(t, 1, "a") for t in times], "timestamp long, value long, t string")
+        ns.metric("w").append(df.coalesce(1), ["t"], now_ms=0)
+        sub.query.processAllAvailable() if sub else None
+
+    out, sub = [], None
+    put([100_000])
+    ns.subscribe("SELECT SUM(value) FROM w GROUP BY INTERVAL 5 s SINCE 20 s", lambda df, b: out.extend((r.lowerBound, r.value) for r in df.collect()), now_ms=0, every_ms=100)
+    sub = next(iter(engine.publisher.running.values()))
+    sub.query.processAllAvailable()
+    put([150_000])
+    put([160_000])  # dropping lags the watermark by one batch
+    put([101_000])
+    put([141_000])
+    sub.query.stop()
+    assert out == [(100_000, 1), (150_000, 1), (160_000, 1), (141_000, 1)]
+
+
 def test_run_once(engine, ns):
     fill(ns)
     m = engine.catalog.metric("d", "n", "m")

@@ -18,7 +18,9 @@ SET_LEVEL_SHARE = 0.5
 #: A spike is at most this many readings in succession.
 SPIKE_RUN = 3
 #: The fences: this many interquartile ranges from the baseline.
-EXPAND = 6.0
+EXPAND = 7.3
+#: Before and after a spike readings go on as before: within this share of the fence.
+CALM = 0.7
 #: An hour's context stands for itself from so many residuals on; else the source's whole scatter does.
 CONTEXT = 48
 #: Accuracy parameter of the quantile sketches (KLL: about 1.3 % rank error at 200, 0.7 % at 400).
@@ -34,7 +36,7 @@ def _iqr(sketch: Column) -> Column:
 
 
 def _scatter(sketch: Column) -> Column:
-    """The interquartile range; where coarse readings make it (nearly) 0, the 5..95 % range on the same footing."""
+    """The interquartile range; the 5..95 % range on the same footing, if that is wider by far."""
     return F.greatest(_iqr(sketch), (_quantile(sketch, 0.95) - _quantile(sketch, 0.05)) / 3.3)
 
 
@@ -46,10 +48,10 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     - impossible: outside ``value_low`` .. ``value_high`` (a null or absent limit limits nothing; NaN is impossible).
     - stuck: in a run of at least 12 successive equal readings of a source whose other runs are at most 5
       long and that doesn't spend most of its time in long runs (those hold set levels by nature).
-    - spike: alone or up to three in succession outside the fences, with a reading inside the fences before
-      or after it on both sides. The baseline is the median of the 17 readings around (without impossible and
+    - spike: alone or up to three in succession outside the fences, with a reading well inside the fences right
+      before and right after. The baseline is the median of the 17 readings around (without impossible and
       stuck ones), so lasting changes of level, waves and drift move the baseline. The fences are ``expand``
-      interquartile ranges of the residuals, from quantile sketches per source and hour, merged over the
+      interquartile ranges of the residuals (each spread over the source's step between values), from quantile sketches per source and hour, merged over the
       adjacent hours (where these hold enough) and over the whole source.
     - too_fast: with ``max_rate``, a change from the reading before of more than ``max_rate`` fences in a second.
 
@@ -80,18 +82,26 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
 
     # baseline and residual among readings that are neither impossible nor in a long run
     usable = ~F.col("_bad") & (F.col("_len") < STUCK)
-    near = Window.partitionBy(*part, "_ok").orderBy("_t", "_v").rowsBetween(-REACH, REACH)
-    base = runs.withColumn("_ok", usable).withColumn("_near", F.when(F.col("_ok"), F.sort_array(F.collect_list("_v").over(near))))
+    near = Window.partitionBy(*part, "_ok").orderBy("_t", "_v")
+    wide = F.collect_list("_v").over(near.rowsBetween(-2 * REACH, 2 * REACH))
+    base = runs.withColumn("_ok", usable).withColumn("_at", F.least(F.row_number().over(near) - 1, F.lit(2 * REACH))).withColumn("_wide", F.when(F.col("_ok"), wide))
+    # 17 readings, at the ends of a series the outermost 17, so that a change of level near an end has its window too
+    start = F.greatest(F.least(F.col("_at") - REACH, F.size("_wide") - (2 * REACH + 1)), F.lit(0))
+    base = base.withColumn("_near", F.sort_array(F.slice("_wide", start + 1, 2 * REACH + 1))).drop("_wide", "_at")
     n = F.size("_near")
     half = F.call_function("div", n, F.lit(2)).cast("int")
     other = F.call_function("div", n - 1, F.lit(2)).cast("int")
     base = base.withColumn("_base", F.when(n >= 5, (F.get("_near", half) + F.get("_near", other)) / 2)).withColumn("_res", F.col("_v") - F.col("_base"))
+    # coarse readings: spread each evenly over the step to the next value, else the quartiles can only be whole steps
+    steps = F.zip_with(F.slice("_near", 2, 2 * REACH), F.slice("_near", 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
+    even = F.pmod(F.xxhash64(*src, "_t", "_v"), F.lit(1 << 20)) / F.lit(float(1 << 20)) - 0.5
+    base = base.withColumn("_spread", F.col("_res") + F.coalesce(F.array_min(F.filter(steps, lambda x: x > 0)), F.lit(0.0)) * even).drop("_near")
     base = base.withColumn("_hour", floor_div(F.col("_t"), HOUR_MS))
 
     # scatter: sketches per source and hour, merged; one row per source and chunk goes back to the readings
     own = ~F.col("_halo")
     hours = base.where(own).groupBy(*part, "_hour").agg(
-        F.kll_sketch_agg_double("_res", SKETCH_K).alias("_k"), F.count("_res").alias("_n"),
+        F.kll_sketch_agg_double("_spread", SKETCH_K).alias("_k"), F.count("_spread").alias("_n"),
         F.count("*").alias("_all"), F.sum(F.when(F.col("_len") >= STUCK, 1).otherwise(0)).alias("_long"),
         F.max(F.when(F.col("_len") < STUCK, F.col("_len"))).alias("_short"),
     )
@@ -111,6 +121,7 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     here = F.try_element_at("_locals", F.col("_hour"))
     scatter = F.when(here.isNotNull(), F.greatest(here, F.col("_scatter") / 2)).otherwise(F.col("_scatter"))
     fenced = scaled.withColumn("_fence", scatter * expand).withColumn("_out", F.coalesce(F.abs("_res") > F.col("_fence"), F.lit(False)))
+    fenced = fenced.withColumn("_calm", F.coalesce(F.abs("_res") <= F.col("_fence") * CALM, F.lit(False)))
 
     # outside in short succession, and back inside on both sides
     walk = Window.partitionBy(*part, "_ok").orderBy("_t", "_v")
@@ -118,8 +129,8 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     for i in range(SPIKE_RUN, 0, -1):
         left = F.when(F.lag("_out", i).over(walk), left + 1).otherwise(F.lit(0))
         right = F.when(F.lead("_out", i).over(walk), right + 1).otherwise(F.lit(0))
-    last = F.coalesce(*[F.when(F.col("_r") == i, F.lead("_out", i + 1).over(walk).isNotNull()) for i in range(SPIKE_RUN)], F.lit(False))
-    first = F.coalesce(*[F.when(F.col("_l") == i, F.lag("_out", i + 1).over(walk).isNotNull()) for i in range(SPIKE_RUN)], F.lit(False))
+    last = F.coalesce(*[F.when(F.col("_r") == i, F.lead("_calm", i + 1).over(walk)) for i in range(SPIKE_RUN)], F.lit(False))
+    first = F.coalesce(*[F.when(F.col("_l") == i, F.lag("_calm", i + 1).over(walk)) for i in range(SPIKE_RUN)], F.lit(False))
     walked = fenced.withColumn("_l", left).withColumn("_r", right)
     walked = walked.withColumn("_back", first & last)
     spike = F.col("_ok") & F.col("_out") & (F.col("_l") + F.col("_r") + 1 <= SPIKE_RUN) & F.col("_back") & ~F.col("_levels")

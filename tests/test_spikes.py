@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from gnomon.operators.spikes import EXPAND, judge_readings
+from gnomon.operators.spikes import CALM, EXPAND, judge_readings
 
 READINGS = "db string, namespace string, metric string, timestamp long, value double, name string, stuck int"
 LIMITS = "db string, namespace string, metric string, value_low double, value_high double"
@@ -22,16 +22,21 @@ def brute(series, low, high):
         length = size[run]
         levels = size[size < 12].max(initial=0) > 5 or size[size >= 12].sum() > 0.5 * len(v)
         ok = np.flatnonzero(~bad & (length < 12))
-        res = np.array([v[ok[i]] - np.median(v[ok[max(0, i - 8) : i + 9]]) for i in range(len(ok))])
-        q = np.quantile(res, [0.25, 0.75, 0.05, 0.95]) if len(res) >= 5 else np.full(4, np.inf)
-        far = np.abs(res) > EXPAND * max(q[1] - q[0], (q[3] - q[2]) / 3.3)
+        first = [max(0, min(i - 8, len(ok) - 17)) for i in range(len(ok))]
+        near = [np.sort(v[ok[f : f + 17]]) for f in first]
+        res = np.array([v[ok[i]] - np.median(near[i]) for i in range(len(ok))])
+        step = [min(d[d > 0], default=0.0) for d in map(np.diff, near)]
+        spread = res + np.array(step) * (np.random.default_rng(0).random(len(res)) - 0.5)
+        q = np.quantile(spread, [0.25, 0.75, 0.05, 0.95]) if len(res) >= 5 else np.array([0, 1e300, 0, 1e300])
+        fence = EXPAND * max(q[1] - q[0], (q[3] - q[2]) / 3.3)
+        far, calm = np.abs(res) > fence, np.abs(res) <= CALM * fence
         spike = set()
         i = 0
         while i < len(ok):
             j = i
             while j < len(ok) and far[j]:
                 j += 1
-            if 0 < j - i <= 3 and i > 0 and j < len(ok):
+            if 0 < j - i <= 3 and i > 0 and j < len(ok) and calm[i - 1] and calm[j]:
                 spike |= set(ok[i:j].tolist())
             i = max(j, i + 1)
         for k in range(len(v)):
@@ -54,6 +59,7 @@ def made(seed=0):
         for i in range(150, 165):
             p[i] = (p[i][0], 21.25)
         p[200] = (p[200][0], 9999.0)
+    s["late step"] = [(i * 600_000, (20 if i < 234 else 35) + rng.gauss(0, 0.3)) for i in range(240)]
     s["few"] = [(0, 1.0), (1, 50.0), (2, 1.0)]
     return s
 
@@ -72,7 +78,7 @@ def test_against_brute_force(spark):
     limits = spark.createDataFrame([("d", "n", "m", -50.0, 500.0)], LIMITS)
     got, want = result(judge_readings(frame(spark, series), limits)), brute(series, -50, 500)
     assert got == want
-    assert sum(f[1] for (n, _), f in got.items()) == 12 and not any(any(f) for (n, _), f in got.items() if n in ("levels", "few"))
+    assert sum(f[1] for (n, _), f in got.items()) == 12 and not any(any(f) for (n, _), f in got.items() if n in ("levels", "few", "late step"))
 
 
 def test_chunks_change_nothing(spark):

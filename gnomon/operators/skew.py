@@ -32,10 +32,11 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY) -> Data
     return counted.where(F.col("n") >= F.lit(share) * F.col("total")).select(*keys, "n", "total")
 
 
-def per_key(df: DataFrame, keys: Sequence[str], name: str = "name", timestamp: str = "timestamp", value: str = "value", share: float = HEAVY) -> DataFrame:
+def per_key(df: DataFrame, keys: Sequence[str], name: str = "name", timestamp: str = "timestamp", value: str = "value", share: float = HEAVY, apart: float | None = None) -> DataFrame:
     """Rows, totals, distinct names and the last bit of every key, without heavy keys holding up the rest.
 
-    Heavy keys come from ``heavy_keys``, a set bounded by 1 / share, and are told apart by a broadcast join.
+    Keys with at least ``apart`` of all rows (default: what half a shuffle partition would hold on average, at most
+    ``share``) come from ``heavy_keys``, a set bounded by 1 / apart, and are told apart by a broadcast join.
 
     - Their rows never meet by key: copies fold on an exchange of all columns, then (key, name) parts, folded
       before each exchange, then those parts. Each step is spread evenly, whatever the key's size.
@@ -43,32 +44,34 @@ def per_key(df: DataFrame, keys: Sequence[str], name: str = "name", timestamp: s
 
     Result: keys, ``n_rows`` (deliveries, copies included), ``n_bits`` (without), ``total`` and ``n_values`` of the
     non-null values, ``n_names`` (distinct, null is none), ``last_timestamp``, ``last_value`` (of the bit with the
-    greatest timestamp; of equal ones the greatest value, nulls least), ``heavy``. Null keys are kept as
-    keys. Totals of doubles are sums of doubles. Empty input gives no rows.
+    greatest timestamp; of equal ones the greatest value, nulls least), ``heavy`` (at least ``share`` of all rows). Null
+    keys are kept as keys. Totals of doubles are sums of doubles. Empty input gives no rows.
     """
     keys = list(keys)
+    apart = min(share, 1 / (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if apart is None else apart)
     k = [f"_k{i}" for i in range(len(keys))]
     skip = {c.lower() for c in ARRIVAL} | {c.lower() for c in keys}
     rest = [c for c in df.columns if c.lower() not in skip]
     flat = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(rest)])
     at = {c: f"_c{i}" for i, c in enumerate(rest)}
-    heavy = heavy_keys(flat, k, share).select(*k, F.lit(True).alias("_heavy"))
+    heavy = heavy_keys(flat, k, apart).select(*k, (F.col("n") >= F.lit(share) * F.col("total")).alias("_heavy"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in k]
-    told = flat.alias("a").join(F.broadcast(heavy.alias("b")), on, "left").select("a.*", F.coalesce("b._heavy", F.lit(False)).alias("_heavy"))
+    told = flat.alias("a").join(F.broadcast(heavy.alias("b")), on, "left").select("a.*", "b._heavy")
     last = F.struct(F.col(at[timestamp]).cast("bigint").alias("t"), F.col(at[value]).cast("double").alias("v"))
 
     def fold(rows: DataFrame) -> DataFrame:
-        once = rows.groupBy(*k, *at.values()).agg(F.count("*").alias("_n"))
+        by = [*k, "_heavy"]
+        once = rows.groupBy(*by, *at.values()).agg(F.count("*").alias("_n"))
         v: Column = F.col(at[value]).cast("double")
-        by_name = once.groupBy(*k, at[name]).agg(
+        by_name = once.groupBy(*by, at[name]).agg(
             F.sum("_n").alias("_n"), F.count("*").alias("_bits"), F.sum(v).alias("_total"), F.count(v).alias("_values"), F.max(last).alias("_last")
         )
-        return by_name.groupBy(*k).agg(
+        return by_name.groupBy(*by).agg(
             F.sum("_n").alias("_n"), F.sum("_bits").alias("_bits"), F.sum("_total").alias("_total"), F.sum("_values").alias("_values"), F.count(at[name]).alias("_names"), F.max("_last").alias("_last")
         )
 
-    light = fold(told.where("not _heavy").repartition(*k)).withColumn("_heavy", F.lit(False))
-    large = fold(told.where("_heavy")).withColumn("_heavy", F.lit(True))
+    light = fold(told.where("_heavy is null").withColumn("_heavy", F.lit(False)).repartition(*k))
+    large = fold(told.where("_heavy is not null"))
     return light.unionByName(large).select(
         *[F.col(a).alias(c) for c, a in zip(keys, k)], F.col("_n").alias("n_rows"), F.col("_bits").alias("n_bits"), F.coalesce("_total", F.lit(0.0)).alias("total"),
         F.col("_values").alias("n_values"), F.col("_names").alias("n_names"), F.col("_last.t").alias("last_timestamp"), F.col("_last.v").alias("last_value"), F.col("_heavy").alias("heavy"),

@@ -53,7 +53,11 @@ def test_heavy_keys(spark):
 
 def test_per_key(spark):
     data = [r for r in rows() if r[4] is None or r[4] == r[4]]
-    got = {(r["k"], r["j"]): r for r in per_key(spark.createDataFrame(data, SCHEMA), ["k", "j"]).collect()}
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {(r["k"], r["j"]): r for r in per_key(df, ["k", "j"]).collect()}
+    for apart in (0.001, 0.04, 0.9):  # how keys are routed changes nothing but rounding
+        other = {(r["k"], r["j"]): r for r in per_key(df, ["k", "j"], apart=apart).collect()}
+        assert {k: (r["n_rows"], r["n_bits"], r["n_names"], r["last_timestamp"], r["heavy"]) for k, r in other.items()} == {k: (r["n_rows"], r["n_bits"], r["n_names"], r["last_timestamp"], r["heavy"]) for k, r in got.items()}
     assert set(got) == {(r[1], r[2]) for r in data}
     for key, r in got.items():
         mine = [x for x in data if (x[1], x[2]) == key]

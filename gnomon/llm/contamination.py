@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import over_cores, ship
-from .words import spans, words
+from .words import portions, spans, words
 
 #: Successive words that make a case when all agree.
 EXACT = 12
@@ -116,8 +116,15 @@ def leaks_in(ids: np.ndarray, hit: np.ndarray, index: Index) -> list[tuple]:
     return out
 
 
-def _scan(texts: Sequence[str | None], index: Index) -> Iterator[tuple[int, str, list[tuple]]]:
-    """The leaks of each text that has any: (its number, the text, leaks). One lookup for the whole batch."""
+def _scan(texts: list[str | None], index: Index) -> Iterator[tuple[int, str, list[tuple]]]:
+    """The leaks of each text that has any: (its number, the text, leaks)."""
+    for r in portions(texts):
+        for d, text, found in _scan_portion(texts[r.start : r.stop], index):
+            yield r.start + d, text, found
+
+
+def _scan_portion(texts: list[str | None], index: Index) -> Iterator[tuple[int, str, list[tuple]]]:
+    """One lookup for all words of all texts."""
     get = index.vocabulary.get
     parts, ends = [], [0]
     for t in texts:

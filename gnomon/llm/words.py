@@ -38,3 +38,15 @@ def spans(text: str) -> list[tuple[int, int]]:
         if m.group(1):
             out += [m.span(1)] * len(_clean(m.group(1)))
     return out
+
+
+def portions(texts: list[str | None], most: int = 4_000_000) -> list[range]:
+    """The numbers of the texts in runs of at most ``most`` characters, or of one longer text: what is worked on at once."""
+    out, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and size + n > most:
+            out.append(range(start, i))
+            start, size = i, 0
+        size += n
+    return [*out, range(start, len(texts))] if len(texts) > start else out

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gnomon.llm.contamination import Index, exact_runs, find_leaks, loose_window, remove_leaks
-from gnomon.llm.words import spans, words
+from gnomon.llm.words import portions, spans, words
 
 DOCS = "doc_id long, text string, field string, item_id int"
 ITEMS = "item_id long, passage string, question string, doc_id int"
@@ -27,6 +27,13 @@ def test_spans_belong_to_words(text):
         assert w in words(text[s:e])
 
 
+def test_portions_hold_every_text_once():
+    texts = ["a" * n for n in (3, 0, 50, 2, 2, 7)] + [None]
+    got = portions(texts, 10)
+    assert [i for r in got for i in r] == list(range(7)) and all(len(r) == 1 or sum(len(texts[i] or "") for i in r) <= 10 for r in got)
+    assert portions([]) == [] and portions([None]) == [range(0, 1)]
+
+
 def test_windows_against_brute_force():
     rng = random.Random(1)
     for _ in range(300):

@@ -21,9 +21,9 @@ DAY = 86_400_000
 PLAIN = {"count(*)": "count_all", "count(distinct *)": "count_distinct", "sum(*)": "sum_value", "avg(*)": "avg_value", "min(*)": "min_value", "max(*)": "max_value", "lowerBound": "lower_bound", "upperBound": "upper_bound"}
 
 
-def _engine(spark: SparkSession, sf: str) -> Engine:
+def _engine(spark: SparkSession, sf: str, *names: str) -> Engine:
     e = Engine(spark, f"{scratch_root(spark)}/gnomon-engine")
-    for name in TAGS:
+    for name in names or TAGS:
         e.register(metric(spark, sf, name))
     return e
 
@@ -34,7 +34,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 def _ask(sql: str, **how):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return _plain(_engine(spark, sf).db("db").namespace("ns").execute(sql, now_ms=NOW, **how))
+        return _plain(_engine(spark, sf, parse(sql).metric).db("db").namespace("ns").execute(sql, now_ms=NOW, **how))
 
     return query
 

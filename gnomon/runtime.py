@@ -69,7 +69,9 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def over_cores(df: DataFrame) -> DataFrame:
-    """Spread the rows of an input that comes in fewer pieces than there are cores, for work that is heavy per row."""
+def over_cores(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """Spread the rows of a small input (by the planner's estimate, at most ``small`` bytes a core) that comes in fewer
+    files than there are cores, for work that is heavy per row. Any larger input stays where it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * small and len(df.inputFiles()) < cores else df

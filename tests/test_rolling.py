@@ -14,7 +14,7 @@ def brute(rows, windows=(7, 30)):
     out = {}
     for name in {b[2] for b in bits}:
         own = [(t // DAY, v) for t, v, n, _ in bits if n == name]
-        for d in range(min(own)[0], max(x[0] for x in own) + 1):
+        for d in range(min(x[0] for x in own), max(x[0] for x in own) + 1):
             r = [sum(x == d for x, _ in own)]
             for w in windows:
                 inside = [v for x, v in own if d - w < x <= d]

@@ -13,7 +13,7 @@ COORDINATES = ["db", "namespace", "metric"]
 REACH = 8
 #: A run this long is stuck, if the source's other runs are at most OTHER_RUNS long ...
 STUCK, OTHER_RUNS = 12, 5
-#: ... and its long runs hold at most this share of its readings; else it holds set levels by nature.
+#: A source that spends more than this share of its readings in runs of over OTHER_RUNS holds set levels by nature.
 SET_LEVEL_SHARE = 0.5
 #: A spike is at most this many readings in succession.
 SPIKE_RUN = 3
@@ -47,7 +47,8 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
 
     - impossible: outside ``value_low`` .. ``value_high`` (a null or absent limit limits nothing; NaN is impossible).
     - stuck: in a run of at least 12 successive equal readings of a source whose other runs are at most 5
-      long and that doesn't spend most of its time in long runs (those hold set levels by nature).
+      long and that doesn't hold set levels by nature, that is, doesn't spend most of its possible readings in
+      runs of over 5. A run of 6 to 11 alone, as a coarse source has it by chance, rules out stuck stretches, not spikes.
     - spike: alone or up to three in succession outside the fences, with a reading well inside the fences right
       before and right after. The baseline is the median of the 17 readings around (without impossible and
       stuck ones), so lasting changes of level, waves and drift move the baseline. The fences are ``expand``
@@ -100,21 +101,22 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
 
     # scatter: sketches per source and hour, merged; one row per source and chunk goes back to the readings
     own = ~F.col("_halo")
+    held = ~F.col("_bad") & (F.col("_len") > OTHER_RUNS)
     hours = base.where(own).groupBy(*part, "_hour").agg(
         F.kll_sketch_agg_double("_spread", SKETCH_K).alias("_k"), F.count("_spread").alias("_n"),
-        F.count("*").alias("_all"), F.sum(F.when(F.col("_len") >= STUCK, 1).otherwise(0)).alias("_long"),
+        F.sum(F.when(~F.col("_bad"), 1).otherwise(0)).alias("_all"), F.sum(F.when(held, 1).otherwise(0)).alias("_held"),
         F.max(F.when(F.col("_len") < STUCK, F.col("_len"))).alias("_short"),
     )
     whole, near_hours = Window.partitionBy(*src), Window.partitionBy(*src).orderBy("_hour").rangeBetween(-1, 1)
     total, all_ = F.kll_merge_agg_double("_k").over(whole), F.sum("_all").over(whole)
-    long_, short = F.sum("_long").over(whole), F.coalesce(F.max("_short").over(whole), F.lit(0))
+    held_, short = F.sum("_held").over(whole), F.coalesce(F.max("_short").over(whole), F.lit(0))
     merged = hours.select(
-        *part, "_hour", total.alias("_whole"), F.sum("_n").over(whole).alias("_n"), ((short > OTHER_RUNS) | (long_ > SET_LEVEL_SHARE * all_)).alias("_levels"),
+        *part, "_hour", total.alias("_whole"), F.sum("_n").over(whole).alias("_n"), (short > OTHER_RUNS).alias("_other"), (held_ > SET_LEVEL_SHARE * all_).alias("_levels"),
         F.kll_merge_agg_double("_k").over(near_hours).alias("_near"), F.sum("_n").over(near_hours).alias("_near_n"),
     )
     local = F.when(F.col("_near_n") >= CONTEXT, F.struct("_hour", _iqr(F.col("_near"))))
     scale = merged.groupBy(*part).agg(
-        F.map_from_entries(F.collect_list(local)).alias("_locals"), F.first("_levels").alias("_levels"),
+        F.map_from_entries(F.collect_list(local)).alias("_locals"), F.first("_levels").alias("_levels"), F.first("_other").alias("_other"),
         F.first(F.when(F.col("_n") >= 5, _scatter(F.col("_whole")))).alias("_scatter"),
     )
     scaled = base.join(scale, part)
@@ -138,7 +140,7 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     fast = F.lit(False) if max_rate is None else F.coalesce(F.abs(F.col("_v") - F.col("_pv")) > F.lit(max_rate) * F.col("_fence") * seconds, F.lit(False))
     return walked.where(own).select(
         *[F.when(F.col(k) != "-", F.substr(k, F.lit(2))).alias(c) for c, k in zip(COORDINATES, keys)], F.col("_s").alias(source), F.col("_t").alias("timestamp"), F.col("_v").alias("value"), F.col("_base").alias("baseline"), F.col("_fence").alias("fence"),
-        F.col("_bad").alias("impossible"), spike.alias("spike"), ((F.col("_len") >= STUCK) & ~F.col("_levels")).alias("stuck"), fast.alias("too_fast"),
+        F.col("_bad").alias("impossible"), spike.alias("spike"), ((F.col("_len") >= STUCK) & ~F.col("_levels") & ~F.col("_other")).alias("stuck"), fast.alias("too_fast"),
     )
 
 

@@ -95,3 +95,17 @@ def test_empty(spark):
 def test_rate(spark):
     series = {"calm": [(i * 1000, float(i % 5)) for i in range(200)]}
     assert any(r["too_fast"] for r in judge_readings(frame(spark, series), spark.createDataFrame([], LIMITS), max_rate=0.01).collect())
+
+
+def test_a_run_by_chance_or_a_repeated_sentinel_hides_no_spike(spark):
+    rng = random.Random(4)
+    series = {n: [(i * 600_000, 20 + rng.gauss(0, 0.3)) for i in range(240)] for n in ("run", "sentinel")}
+    for n, p in series.items():
+        p[30] = (p[30][0], p[30][1] + 15)
+        for i in range(100, 106):
+            p[i] = (p[i][0], 20.25 if n == "run" else 9999.0)
+    # set levels held for 8 readings each stay no case
+    series["short holds"] = [(i * 600_000, [10.0, 30.0, 20.0, 15.0][i // 8 % 4] + (40 if i == 131 else 0)) for i in range(240)]
+    got = result(judge_readings(frame(spark, series), spark.createDataFrame([("d", "n", "m", -50.0, 500.0)], LIMITS)))
+    assert {k for k, f in got.items() if f[1]} == {("run", 30 * 600_000), ("sentinel", 30 * 600_000)}
+    assert sum(f[0] for f in got.values()) == 6 and not any(f[2] for f in got.values())

@@ -13,7 +13,8 @@ COORDINATES = ["db", "namespace", "metric"]
 REACH = 8
 #: A run this long is stuck, if the source's other runs are at most OTHER_RUNS long ...
 STUCK, OTHER_RUNS = 12, 5
-#: A source that spends more than this share of its readings in runs of over OTHER_RUNS holds set levels by nature.
+#: A source that spends more than this share of its readings in runs of over OTHER_RUNS, without those at the level it
+#: holds most, holds set levels by nature.
 SET_LEVEL_SHARE = 0.5
 #: A spike is at most this many readings in succession.
 SPIKE_RUN = 3
@@ -48,7 +49,8 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     - impossible: outside ``value_low`` .. ``value_high`` (a null or absent limit limits nothing; NaN is impossible).
     - stuck: in a run of at least 12 successive equal readings of a source whose other runs are at most 5
       long and that doesn't hold set levels by nature, that is, doesn't spend most of its possible readings in
-      runs of over 5. A run of 6 to 11 alone, as a coarse source has it by chance, rules out stuck stretches, not spikes.
+      runs of over 5. The level it holds most is left out of that (a sensor that died holds one level for long, and
+      varied before), but a source that has nothing else holds set levels. A run of 6 to 11 alone, as a coarse source has it by chance, rules out stuck stretches, not spikes.
     - spike: alone or up to three in succession outside the fences, with a reading well inside the fences right
       before and right after. The baseline is the median of the 17 readings around (without impossible and
       stuck ones), so lasting changes of level, waves and drift move the baseline. The fences are ``expand``
@@ -79,7 +81,10 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     by_time = Window.partitionBy(*part).orderBy("_t", "_v")
     runs = placed.withColumn("_pv", F.lag("_v").over(by_time)).withColumn("_pt", F.lag("_t").over(by_time))
     runs = runs.withColumn("_run", F.sum(F.when(F.col("_v") == F.col("_pv"), 0).otherwise(1)).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("_len", F.count("*").over(Window.partitionBy(*part, "_run")))
+    one = Window.partitionBy(*part, "_run")
+    # _mine: what of the run is the chunk's own; _head: where that begins
+    runs = runs.withColumn("_len", F.count("*").over(one)).withColumn("_mine", F.sum(F.when(F.col("_halo"), 0).otherwise(1)).over(one))
+    runs = runs.withColumn("_head", ~F.col("_halo") & F.col("_t").eqNullSafe(F.min(F.when(~F.col("_halo"), F.col("_t"))).over(one)))
 
     # baseline and residual among readings that are neither impossible nor in a long run
     usable = ~F.col("_bad") & (F.col("_len") < STUCK)
@@ -102,16 +107,19 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     # scatter: sketches per source and hour, merged; one row per source and chunk goes back to the readings
     own = ~F.col("_halo")
     held = ~F.col("_bad") & (F.col("_len") > OTHER_RUNS)
+    level = F.struct(F.col("_mine").alias("n"), F.col("_v").alias("v"))
     hours = base.where(own).groupBy(*part, "_hour").agg(
         F.kll_sketch_agg_double("_spread", SKETCH_K).alias("_k"), F.count("_spread").alias("_n"),
         F.sum(F.when(~F.col("_bad"), 1).otherwise(0)).alias("_all"), F.sum(F.when(held, 1).otherwise(0)).alias("_held"),
+        F.max(F.when(held & F.col("_head"), level)).alias("_level"),  # the longest run that begins in the hour
         F.max(F.when(F.col("_len") < STUCK, F.col("_len"))).alias("_short"),
     )
+    hours = hours.withColumn("_top", F.coalesce(F.sum("_level.n").over(Window.partitionBy(*src, "_level.v")), F.lit(0)))
     whole, near_hours = Window.partitionBy(*src), Window.partitionBy(*src).orderBy("_hour").rangeBetween(-1, 1)
     total, all_ = F.kll_merge_agg_double("_k").over(whole), F.sum("_all").over(whole)
-    held_, short = F.sum("_held").over(whole), F.coalesce(F.max("_short").over(whole), F.lit(0))
+    held_, top, short = F.sum("_held").over(whole), F.max("_top").over(whole), F.coalesce(F.max("_short").over(whole), F.lit(0))
     merged = hours.select(
-        *part, "_hour", total.alias("_whole"), F.sum("_n").over(whole).alias("_n"), (short > OTHER_RUNS).alias("_other"), (held_ > SET_LEVEL_SHARE * all_).alias("_levels"),
+        *part, "_hour", total.alias("_whole"), F.sum("_n").over(whole).alias("_n"), (short > OTHER_RUNS).alias("_other"), ((held_ - top > SET_LEVEL_SHARE * (all_ - top)) | (top >= all_)).alias("_levels"),
         F.kll_merge_agg_double("_k").over(near_hours).alias("_near"), F.sum("_n").over(near_hours).alias("_near_n"),
     )
     local = F.when(F.col("_near_n") >= CONTEXT, F.struct("_hour", _iqr(F.col("_near"))))

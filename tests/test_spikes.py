@@ -109,3 +109,16 @@ def test_a_run_by_chance_or_a_repeated_sentinel_hides_no_spike(spark):
     got = result(judge_readings(frame(spark, series), spark.createDataFrame([("d", "n", "m", -50.0, 500.0)], LIMITS)))
     assert {k for k, f in got.items() if f[1]} == {("run", 30 * 600_000), ("sentinel", 30 * 600_000)}
     assert sum(f[0] for f in got.values()) == 6 and not any(f[2] for f in got.values())
+
+
+def test_a_dead_sensor_holds_no_set_levels(spark):
+    rng = random.Random(5)
+    series = {"dead": [(i * 600_000, 20 + rng.gauss(0, 0.3) if i < 100 else 20.25) for i in range(250)]}
+    series["dead"][30] = (30 * 600_000, 40.0)
+    series["on and off"] = [(i * 600_000, float(i // 40 % 2)) for i in range(250)]
+    series["constant"] = [(i * 600_000, 3.0) for i in range(250)]
+    limits = spark.createDataFrame([("d", "n", "m", -50.0, 500.0)], LIMITS)
+    for chunk in (500_000, 60):  # the dead stretch over several chunks too
+        got = result(judge_readings(frame(spark, series), limits, rows_per_chunk=chunk))
+        assert {k for k, f in got.items() if f[1]} == {("dead", 30 * 600_000)}
+        assert {k for k, f in got.items() if f[2]} == {("dead", i * 600_000) for i in range(100, 250)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Single-byte encodings of the pairs (fixed values). "latin" is cp1252 with ISO 8859-1 where cp1252 has nothing.
@@ -39,6 +41,21 @@ def _encode_table(name: str) -> np.ndarray:
 
 ENCODE = {name: _encode_table(name) for name in SINGLE}
 
+#: Characters that cp932 has twice, by the bytes that can occur in UTF-8.
+_CP932_TWICE = {c: b for a in (0xED, 0xEE) for t in range(0x40, 0xFD) if len(c := (b := bytes([a, t])).decode("cp932", "ignore")) == 1}
+
+
+@lru_cache(1 << 16)
+def wide_bytes(c: str, codec: str) -> bytes:
+    """The bytes of a character in a multi-byte encoding; none if it has none there."""
+    if codec == "cp932" and c in _CP932_TWICE:
+        return _CP932_TWICE[c]
+    try:
+        return c.encode(codec)
+    except UnicodeEncodeError:
+        return b""
+
+
 #: The true encoding of text that went through the same misreading of UTF-8 two times.
 TWICE = "utf-8 twice"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import over_cores, ship, write_scratch
-from .encodings import DECODE, DOUBLE, ENCODE, PAIRS, SINGLE, TWICE, WIDE, utf8_units
+from .encodings import DECODE, DOUBLE, ENCODE, PAIRS, SINGLE, TWICE, WIDE, utf8_units, wide_bytes
 from .words import portions
 
 #: Log probabilities of leaving and of resuming the clean state; and what a pair that isn't of the commonest costs more.
@@ -212,19 +212,66 @@ def _double_units(cp: np.ndarray, b: np.ndarray, codec: str) -> tuple[np.ndarray
     return u, size
 
 
-def _wide_units(text: str, cp: np.ndarray, codec: str) -> tuple[np.ndarray, np.ndarray]:
-    """Units of UTF-8 read as a multi-byte encoding: a unit is a run of characters whose bytes are whole UTF-8 characters;
-    its code point is its first character's, its length the run's."""
-    n = len(cp)
-    u, size = np.zeros(n, np.int32), np.zeros(n, np.int8)
-    for m in re.finditer(r"[^\x00-\x7f]{2,}", text):
-        try:
-            back = m.group().encode(codec).decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-        if back and len(back) < 2 * len(m.group()) and m.end() - m.start() < 120:
-            u[m.start()], size[m.start()] = ord(back[0]), m.end() - m.start()
-    return u, size
+def _wide_units(text: str, codec: str) -> list[tuple[int, int, str]]:
+    """Units of UTF-8 read as a multi-byte encoding, from the left: (start, end, what it says). A unit is the fewest
+    characters from its start on whose bytes are whole UTF-8 characters, at least one of them not ASCII. Its last character may have
+    swallowed an ASCII letter. A longer unit's inner characters begin within a UTF-8 character, so none can be a unit's start."""
+    out, end = [], 0
+    for m in re.finditer(r"[^\x00-\x7f]+", text):
+        i, end = m.span()
+        while i < end:
+            raw, left, j = bytearray(), 0, i
+            while j < end:
+                more = wide_bytes(text[j], codec)
+                j += 1
+                for b in more:
+                    if left and 0x80 <= b <= 0xBF:
+                        left -= 1
+                    elif left:
+                        more = b""
+                        break
+                    elif 0xC2 <= b <= 0xF4:
+                        left = 1 if b < 0xE0 else 2 if b < 0xF0 else 3
+                    elif b >= 0x80:
+                        more = b""
+                        break
+                raw += more
+                if not more or not left:
+                    break
+            if more and not left:
+                try:
+                    out.append((i, j, raw.decode("utf-8")))
+                    i = j
+                    continue
+                except UnicodeDecodeError:
+                    pass
+            i += 1
+    return out
+
+
+def _wide_gains(units: list[tuple[int, int, str]], cp: np.ndarray, ctx: np.ndarray, clean: np.ndarray, model: Characters) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_unit_gains``, for units that say one or more characters each: the first place has the log probability of all."""
+    score, says, door = np.where(cp < 128, 0.0, IMPOSSIBLE), ctx.copy(), np.ones(len(cp), bool)
+    if units:
+        start, end = np.array([x[0] for x in units]), np.array([x[1] for x in units])
+        size = np.array([len(x[2]) for x in units])
+        u = points("".join(x[2] for x in units))
+        inner = np.concatenate([[0], np.cumsum(end - start)])
+        places = np.arange(inner[-1]) + np.repeat(start - inner[:-1], end - start)
+        score[places], door[places], door[start] = 0.0, False, True
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        last = first + size - 1
+        c = context(u)
+        says[end - 1] = c[last]
+        before = np.concatenate([[32], c[:-1]])
+        before[first] = np.concatenate([[32], says])[start]
+        logs = np.where(u >= 128, model.log(before, u), 0.0)
+        logs[last] += np.where(u[last] >= 128, _foreign(u[last], end, ctx), 0.0)
+        # a Latin letter right before an East Asian one that is none of a unit's: a rare letter read right
+        stray = np.isin(end, start, invert=True) & (script(np.concatenate([ctx, [32]])[end]) == 4)
+        logs[last] += np.where((script(u[last]) == 2) & stray, MIXED, 0.0)
+        score[start] = np.add.reduceat(logs, first)
+    return score - clean, door
 
 
 def _unit_gains(units: tuple[np.ndarray, np.ndarray], cp: np.ndarray, ctx: np.ndarray, clean: np.ndarray, model: Characters) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +353,7 @@ def _label(text: str, model: Characters) -> tuple[np.ndarray, np.ndarray]:
     for i, (e, d) in enumerate(PAIRS):
         if d in WIDE:
             if (cp[odd] > 0x2E80).any():
-                offer(i, *_unit_gains(_wide_units(text, cp, WIDE[d]), cp, ctx, clean, model))
+                offer(i, *_wide_gains(_wide_units(text, WIDE[d]), cp, ctx, clean, model))
             continue
         b = raw[d]
         can_odd = raw_odd[d] >= 0
@@ -411,8 +458,12 @@ def _turn_back(text: str, label: np.ndarray, quoted: np.ndarray) -> str:
 def _inverse(run: str, e: str, d: str) -> str:
     """A run read as ``d`` in its true encoding ``e``; as it is, where its bytes say nothing there."""
     try:
-        if d in WIDE:
-            return run.encode(WIDE[d]).decode(e)
+        if d in WIDE:  # unit by unit: what is none stays
+            at, out = 0, []
+            for start, end, says in _wide_units(run, WIDE[d]):
+                out += [run[at:start], says]
+                at = end
+            return "".join(out) + run[at:]
         if e == TWICE:
             return _inverse(_inverse(run, "utf-8", d), "utf-8", d)
         raw = bytes(int(ENCODE[d][c]) if (c := ord(x)) >= 128 else c for x in run)

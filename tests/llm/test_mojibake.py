@@ -89,3 +89,25 @@ def test_tables():
     u, size = utf8_units(np.where(b < 128, -1, b))
     assert u[size > 0].tolist() == [ord(c) for c in "é€😀"] and size[size > 0].tolist() == [2, 3, 4]
     assert not utf8_units(np.array([0xE9, 0x20, 0xC0, 0x80, 0xED, 0xA0, 0x80]))[1].any()
+
+
+LONG = CLEAN["ja"].replace("。", "").replace("、", "") * 6
+
+
+@pytest.mark.parametrize("text, codec", [("für, Größe, café", "gb18030"), ("für ihn", "cp932"), ("für ihn", "euc-jp"), ("It’s a café", "gb18030"), ("It’s a café", "cp932"), (CLEAN["ru"], "gb18030"), (LONG, "gb18030"), (LONG.replace("遅い", "").replace("集", "") + "A", "cp932")])
+def test_utf8_read_as_multi_byte(model, text, codec):
+    """Single letters between ASCII ones, letters that swallow an ASCII one, runs of over 120 characters; alone and touching clean text."""
+    garbled = text.encode().decode(codec)
+    assert restore(garbled, model)[0] == text
+    assert restore(CLEAN["ja"] + garbled + CLEAN["ja"], model)[0] == CLEAN["ja"] + text + CLEAN["ja"]
+
+
+def test_lost_characters_leave_the_rest_restored(model):
+    garbled = CLEAN["ja"].encode().decode("cp932", "replace")
+    back, found = restore(garbled, model)
+    assert "�" in garbled and "まず窓を外して、次に" in back and {x[3] for x in found} == {"as-cp932", "replaced"}
+
+
+def test_a_rare_kanji_is_no_misread_letter(model):
+    text = "LIMIT 29\n\n棚と集計を確認してください。"  # 棚 is the bytes of ê in EUC-JP
+    assert restore(text, model) == (text, [])

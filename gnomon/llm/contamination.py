@@ -83,6 +83,17 @@ def loose_window(equal: np.ndarray) -> tuple[int, int] | None:
     return (int(start[best]), best) if length[best] >= LOOSE else None
 
 
+def loose_windows(equal: np.ndarray) -> list[tuple[int, int]]:
+    """The longest such stretch, then the longest ones of what is left on either side of it, until none is left."""
+    out, rest = [], [(0, len(equal))]
+    while rest:
+        a, b = rest.pop()
+        if (w := loose_window(equal[a:b])) is not None:
+            out.append((a + w[0], a + w[1]))
+            rest += [(a, a + w[0]), (a + w[1], b)]
+    return sorted(out)
+
+
 def exact_runs(equal: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(np.int8), [0]])))
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= EXACT]
@@ -102,7 +113,7 @@ def leaks_in(ids: np.ndarray, hit: np.ndarray, index: Index) -> list[tuple]:
         a, b = max(0, shift), min(len(ids), shift + len(t))
         equal = ids[a:b] == t[a - shift : b - shift]
         found = [("exact", x, y) for x, y in exact_runs(equal)]
-        if (w := loose_window(equal)) is not None:
+        for w in loose_windows(equal):
             right = np.flatnonzero(equal[w[0] : w[1]])  # report it from its first to its last right word
             found.append(("loose", w[0] + int(right[0]), w[0] + int(right[-1]) + 1))
         item, field = index.owner[which]

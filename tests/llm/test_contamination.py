@@ -90,3 +90,16 @@ def test_seeds_miss_no_loose_case():
         for i in rng.sample(range(n), n // 8):
             text[i] = "wrong"
         assert [f for _, _, f in _scan([" ".join(text)], index)]
+
+
+def test_every_loose_stretch_of_an_alignment(spark):
+    w = item(6, 200).split()
+    wrong = [x + "x" if i % 8 == 7 else x for i, x in enumerate(w)]
+    other = item(99, 200).split()
+    text = wrong[:40] + other[40:80] + wrong[80:140] + other[140:160] + wrong[160:200]
+    docs = spark.createDataFrame([(1, " ".join(text), "f", 5)], DOCS)
+    items = spark.createDataFrame([(7, " ".join(w), None, 1)], ITEMS)
+    got = sorted((r.first_word, r.end_word) for r in find_leaks(docs, items).collect())
+    assert [(a < 2, b - a >= 38) for a, b in got] == [(True, True), (False, True), (False, True)]
+    left = words(remove_leaks(docs, items).first().text)
+    assert not set(left) & set(wrong[:39] + wrong[81:138] + wrong[161:199]) and set(other[41:79]) <= set(left)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import over_cores, ship
-from .words import portions, spans, words
+from .words import has_doubtful_tags, portions, spans, words
 
 #: Successive words that make a case when all agree.
 EXACT = 12
@@ -37,11 +37,13 @@ class Index:
         self.owner: list[tuple[object, int]] = []
         for row in rows:
             for f in range(len(fields)):
-                w = words(row[1 + f] or "")
-                if len(w) < EXACT:
-                    continue
-                self.texts.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64))
-                self.owner.append((row[0], f))
+                t = row[1 + f] or ""
+                for tags in (False, True) if has_doubtful_tags(t) else (False,):
+                    w = words(t, tags)
+                    if len(w) < EXACT:
+                        continue
+                    self.texts.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64))
+                    self.owner.append((row[0], f))
         hashes, which, at = [], [], []
         for k, t in enumerate(self.texts):
             h = seeds(t)
@@ -128,18 +130,34 @@ def leaks_in(ids: np.ndarray, hit: np.ndarray, index: Index) -> list[tuple]:
 
 
 def _scan(texts: list[str | None], index: Index) -> Iterator[tuple[int, str, list[tuple]]]:
-    """The leaks of each text that has any: (its number, the text, leaks)."""
+    """The leaks of each text that has any: (its number, the text, leaks with their first and end character)."""
     for r in portions(texts):
-        for d, text, found in _scan_portion(texts[r.start : r.stop], index):
-            yield r.start + d, text, found
+        part = texts[r.start : r.stop]
+        leaks: dict[int, list[tuple]] = {}
+        twice = [d for d, t in enumerate(part) if t and has_doubtful_tags(t)]
+        for tags, which in ((False, range(len(part))), (True, twice)):
+            for k, found in _scan_portion([part[d] for d in which], index, tags):
+                where = spans(part[which[k]], tags)
+                leaks.setdefault(which[k], []).extend((*x, where[x[5]][0], where[x[6] - 1][1]) for x in found)
+        for d in sorted(leaks):
+            yield r.start + d, part[d], _widest(leaks[d]) if d in twice else leaks[d]
+
+
+def _widest(found: list[tuple]) -> list[tuple]:
+    """The leaks of a text's two readings without those inside another of the same item and field."""
+    out: list[tuple] = []
+    for r in sorted(found, key=lambda r: (r[7], -r[8])):  # stable: of equal ones the first reading's
+        if not any(q[0] == r[0] and q[1] == r[1] and r[8] <= q[8] for q in out):
+            out.append(r)
+    return out
 
 
-def _scan_portion(texts: list[str | None], index: Index) -> Iterator[tuple[int, str, list[tuple]]]:
+def _scan_portion(texts: list[str | None], index: Index, tags: bool = False) -> Iterator[tuple[int, list[tuple]]]:
     """One lookup for all words of all texts."""
     get = index.vocabulary.get
     parts, ends = [], [0]
     for t in texts:
-        ids = [get(w, 0) for w in words(t)] if t else []
+        ids = [get(w, 0) for w in words(t, tags)] if t else []
         parts.append(np.array([*ids, *[0] * SEED], np.int64))  # 0 is no word of any item and keeps texts apart
         ends.append(ends[-1] + len(parts[-1]))
     if not len(index.hashes) or not parts:
@@ -151,7 +169,7 @@ def _scan_portion(texts: list[str | None], index: Index) -> Iterator[tuple[int,
     for d in np.unique(doc):
         found = leaks_in(parts[d][:-SEED], hit[doc == d] - ends[d], index)
         if found:
-            yield int(d), texts[d], found
+            yield int(d), found
 
 
 def _blocks(items: DataFrame, item_id: str, fields: Sequence[str], block_chars: int) -> Iterator[Index]:
@@ -166,7 +184,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """Every stretch of an item's ``fields`` that a document holds.
 
     A case is a stretch of at least 12 successive words of one field, or of at least 30 of which at most one in eight
-    differs. Words are compared without case, punctuation, spacing, markup and comment marks.
+    differs. Words are compared without case, punctuation, spacing, markup and comment marks. A text with what may be no
+    tag ('i<n; ... ->'), or with prose in an attribute, is read both ways, without and with the words in tags;
+    first_word and end_word count the words of the reading that holds the stretch.
 
     A hash set of all items' word 6-grams is broadcast. Each document's word windows are looked up in it, and
     every hit is verified by comparing the two texts word by word along the hit. No shuffle; documents stay
@@ -195,9 +215,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             for b in batches:
                 rows = []
                 keys, texts = b["_id"].tolist(), b["_text"].tolist()
-                for d, whole, found in _scan(texts, shared.value):
-                    where = spans(whole)
-                    rows += [(keys[d], *r, where[r[5]][0], where[r[6] - 1][1]) for r in found]
+                for d, _, found in _scan(texts, shared.value):
+                    rows += [(keys[d], *r) for r in found]
                 yield pd.DataFrame(rows, columns=names)
 
         one = over_cores(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))).mapInPandas(scan, schema)
@@ -230,8 +249,8 @@ def remove_leaks(docs: DataFrame, items: DataFrame, how: str = "spans", doc_id:
                 drop = []
                 for d, whole, found in _scan(texts, shared.value):
                     drop.append(d)
-                    where, kept, at = spans(whole), [], 0
-                    for s, e in sorted((where[r[5]][0], where[r[6] - 1][1]) for r in found):
+                    kept, at = [], 0
+                    for s, e in sorted(r[7:] for r in found):
                         if e > at:
                             kept.append(whole[at : max(s, at)])
                             at = e

@@ -11,6 +11,11 @@ import unicodedata
 _PIECES = re.compile(
     r"</?[A-Za-z][^<>]*>|\]\([^()\s]*\)|((?:[^\W_]|&(?:[A-Za-z]{2,8}|#\d{1,6}|#[xX][0-9A-Fa-f]{1,6});|[­​-‍⁠﻿̀-ͯ])+)"
 )
+#: All words, those in tags and link targets too.
+_ALL_PIECES = re.compile(_PIECES.pattern[_PIECES.pattern.index("((?:") :])
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: What surely is markup: a name and attributes with values that can't hold a passage.
+_PLAIN_TAG = re.compile(r"""</?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"(?:[^"<>\s]*\s+){0,8}[^"<>\s]*"|'(?:[^'<>\s]*\s+){0,8}[^'<>\s]*'|[^\s"'<>=]+))*\s*/?>""")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
@@ -24,17 +29,24 @@ def _clean(piece: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", piece.translate(_INVISIBLE)).casefold())
 
 
-def words(text: str) -> list[str]:
-    """The normalised words of the whole text, in order."""
+def has_doubtful_tags(text: str) -> bool:
+    """Whether something that ``words`` skips as a tag may be none ('i<n; ... ->'), or holds prose in an attribute:
+    such a text has a second reading, with the words in tags."""
+    return "<" in text and any(not _PLAIN_TAG.fullmatch(m.group()) for m in _TAG.finditer(text))
+
+
+def words(text: str, tags: bool = False) -> list[str]:
+    """The normalised words of the whole text, in order; with ``tags``, those in tags and link targets too."""
+    pieces = _ALL_PIECES if tags else _PIECES
     if text.isascii() and "&" not in text:
-        return [w for w in _PIECES.findall(text.lower()) if w]
-    return [w for piece in _PIECES.findall(text) if piece for w in _clean(piece)]
+        return [w for w in pieces.findall(text.lower()) if w]
+    return [w for piece in pieces.findall(text) if piece for w in _clean(piece)]
 
 
-def spans(text: str) -> list[tuple[int, int]]:
-    """Where each of ``words(text)`` lies in the text, as (start, end)."""
+def spans(text: str, tags: bool = False) -> list[tuple[int, int]]:
+    """Where each of ``words(text, tags)`` lies in the text, as (start, end)."""
     out = []
-    for m in _PIECES.finditer(text):
+    for m in (_ALL_PIECES if tags else _PIECES).finditer(text):
         if m.group(1):
             out += [m.span(1)] * len(_clean(m.group(1)))
     return out

@@ -103,3 +103,17 @@ def test_every_loose_stretch_of_an_alignment(spark):
     assert [(a < 2, b - a >= 38) for a, b in got] == [(True, True), (False, True), (False, True)]
     left = words(remove_leaks(docs, items).first().text)
     assert not set(left) & set(wrong[:39] + wrong[81:138] + wrong[161:199]) and set(other[41:79]) <= set(left)
+
+
+def test_what_looks_like_a_tag_hides_nothing(spark):
+    p = item(8, 13)
+    code = "for (i=0;i<n;i++) f(i);\n" + p + "\n> quoted"
+    attribute = '<img src="a.png" alt="' + p + '">'
+    within = " ".join(p.split()[:6]) + ' <a href="u" title="some eleven words or more in here that are no part of it">' + " ".join(p.split()[6:]) + "</a>"
+    docs = spark.createDataFrame([(1, code, "f", 5), (2, attribute, "f", 5), (3, within, "f", 5), (4, "i <n and no leak -> here", "f", 5)], DOCS)
+    items = spark.createDataFrame([(7, p, None, 1)], ITEMS)
+    got = find_leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.n_words) for r in got) == [(1, 13), (2, 13), (3, 13)]
+    assert {r.doc_id: code[r.start_char : r.end_char] for r in got if r.doc_id == 1} == {1: p}
+    left = {r.doc_id: r.text for r in remove_leaks(docs, items).collect()}
+    assert left[1] == code.replace(p, "") and left[2] == attribute.replace(p, "")

@@ -38,7 +38,8 @@ CAPITAL = -1.5
 
 _LOST = 0xFFFD
 _SMALL = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x10000)], np.int32)
-_QUOTED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`", re.DOTALL)
+#: Closed fences (from line start to line start, or within a line), and closed pairs that don't open within a word.
+_QUOTED = re.compile(r"^[ \t>]*```.*?^[ \t>]*```|```[^`\n]+```|(?<![0-9A-Za-z\u00c0-\u024f`])`[^`\n]+`", re.DOTALL | re.MULTILINE)
 
 
 def points(text: str) -> np.ndarray:

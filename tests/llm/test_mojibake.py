@@ -111,3 +111,9 @@ def test_lost_characters_leave_the_rest_restored(model):
 def test_a_rare_kanji_is_no_misread_letter(model):
     text = "LIMIT 29\n\n棚と集計を確認してください。"  # 棚 is the bytes of ê in EUC-JP
     assert restore(text, model) == (text, [])
+
+
+@pytest.mark.parametrize("frame", ["see ``` above. {}", "```\ncode\n```\nso ``` {}", "don`t {} won`t"])
+def test_stray_backticks_quote_nothing(model, frame):
+    back, found = restore(frame.format(misread(CLEAN["fr"], "utf-8", "latin")), model)
+    assert found and back == frame.format(CLEAN["fr"])

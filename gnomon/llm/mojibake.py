@@ -365,7 +365,7 @@ def _label(text: str, model: Characters) -> tuple[np.ndarray, np.ndarray]:
         elif e == TWICE:
             offer(i, *_unit_gains(_twice_units(cp, d), cp, ctx, clean, model))
         elif e in DOUBLE:
-            if (b >= 0x81).sum() * 2 > len(at):
+            if (raw_odd[d] >= 0x81).any():
                 offer(i, *_unit_gains(_double_units(cp, b, DOUBLE[e]), cp, ctx, clean, model))
         elif model.knows(DECODE[e][raw_odd[d][can_odd]]).any():
             says = np.where(b >= 0, DECODE[e][np.maximum(b, 0)], ctx)

@@ -117,3 +117,11 @@ def test_a_rare_kanji_is_no_misread_letter(model):
 def test_stray_backticks_quote_nothing(model, frame):
     back, found = restore(frame.format(misread(CLEAN["fr"], "utf-8", "latin")), model)
     assert found and back == frame.format(CLEAN["fr"])
+
+
+@pytest.mark.parametrize("true", ["cp932", "euc-jp"])
+@pytest.mark.parametrize("read", ["latin", "cp1251"])
+def test_one_stretch_of_a_japanese_encoding(model, true, read):
+    part = "次に集計を確認してください"
+    back, found = restore(CLEAN["ja"] * 4 + " " + misread(part, true, read) + " " + CLEAN["ja"] * 2, model)
+    assert back == CLEAN["ja"] * 4 + " " + part + " " + CLEAN["ja"] * 2 and {x[2:] for x in found} == {(true, read)}

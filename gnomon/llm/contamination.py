@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..runtime import over_cores, ship
+from ..runtime import over_cores, ship, write_scratch
 from .words import has_doubtful_tags, portions, spans, words
 
 #: Successive words that make a case when all agree.
@@ -121,10 +124,18 @@ def leaks_in(ids: np.ndarray, hit: np.ndarray, index: Index) -> list[tuple]:
         item, field = index.owner[which]
         for kind, x, y in found:
             best[item, field, a + x, a + y] = (item, index.fields[field], kind, y - x, int((~equal[x:y]).sum()), a + x, a + y)
-    # a stretch inside another of the same item and field says nothing new
-    out = []
-    for r in sorted(best.values(), key=lambda r: (str(r[0]), r[1], r[5], -r[6])):
-        if not any(q[0] == r[0] and q[1] == r[1] and q[5] <= r[5] and r[6] <= q[6] for q in out[-4:]):
+    return _maximal(best.values(), 5, 6)
+
+
+def _maximal(found: Iterable[tuple], start: int, end: int) -> list[tuple]:
+    """The stretches without those inside another of the same item and field, which say nothing new; of equal ones the
+    first. A stretch lies inside one that begins no later exactly if it ends no later than the farthest of them."""
+    out: list[tuple] = []
+    farthest: dict[tuple, int] = {}
+    for r in sorted(found, key=lambda r: (r[start], -r[end])):
+        key = r[0], r[1]
+        if r[end] > farthest.get(key, -1):
+            farthest[key] = r[end]
             out.append(r)
     return out
 
@@ -140,16 +151,7 @@ def _scan(texts: list[str | None], index: Index) -> Iterator[tuple[int, str, lis
                 where = spans(part[which[k]], tags)
                 leaks.setdefault(which[k], []).extend((*x, where[x[5]][0], where[x[6] - 1][1]) for x in found)
         for d in sorted(leaks):
-            yield r.start + d, part[d], _widest(leaks[d]) if d in twice else leaks[d]
-
-
-def _widest(found: list[tuple]) -> list[tuple]:
-    """The leaks of a text's two readings without those inside another of the same item and field."""
-    out: list[tuple] = []
-    for r in sorted(found, key=lambda r: (r[7], -r[8])):  # stable: of equal ones the first reading's
-        if not any(q[0] == r[0] and q[1] == r[1] and r[8] <= q[8] for q in out):
-            out.append(r)
-    return out
+            yield r.start + d, part[d], _maximal(leaks[d], 7, 8) if d in twice else leaks[d]
 
 
 def _scan_portion(texts: list[str | None], index: Index, tags: bool = False) -> Iterator[tuple[int, list[tuple]]]:
@@ -172,12 +174,55 @@ def _scan_portion(texts: list[str | None], index: Index, tags: bool = False) ->
             yield int(d), found
 
 
-def _blocks(items: DataFrame, item_id: str, fields: Sequence[str], block_chars: int) -> Iterator[Index]:
+def _cut(text: str, stretches: Iterable[tuple[int, int]]) -> str:
+    """The text without the stretches, which may overlap."""
+    kept, at = [], 0
+    for s, e in sorted(stretches):
+        if e > at:
+            kept.append(text[at : max(s, at)])
+            at = e
+    return "".join(kept) + text[at:]
+
+
+def cut_leaks(texts: list[str | None], index: Index) -> dict[int, str]:
+    """By number, every text that leaks, without its leaks. What a cut brings together may be a leak again,
+    so cut texts are searched until none has any; each round makes them shorter."""
+    out: dict[int, str] = {}
+    which = list(range(len(texts)))
+    while which:
+        found = {which[k]: _cut(t, [r[7:] for r in leaks]) for k, t, leaks in _scan([out.get(d, texts[d]) for d in which], index)}
+        out |= found
+        which = list(found)
+    return out
+
+
+def _blocks(items: DataFrame, item_id: str, fields: Sequence[str], block_chars: int) -> tuple[int, Iterator[Index]]:
+    """The number of blocks, and their indexes, each built when asked for."""
     size = items.select(F.sum(sum((F.coalesce(F.length(f), F.lit(0)) for f in fields), F.lit(0)).cast("bigint"))).first()[0] or 0
     n = max(1, math.ceil(2 * size / block_chars)) if size > block_chars else 1
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(n)) == b)
-        yield Index([tuple(r) for r in part.select(item_id, *fields).where(F.col(item_id).isNotNull()).toLocalIterator()], fields)
+
+    def build() -> Iterator[Index]:
+        for b in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(n)) == b)
+            yield Index([tuple(r) for r in part.select(item_id, *fields).where(F.col(item_id).isNotNull()).toLocalIterator()], fields)
+
+    return n, build()
+
+
+def _in_blocks(docs: DataFrame, blocks: tuple[int, Iterator[Index]], search: Callable[[Broadcast], Callable], schema: T.StructType) -> DataFrame:
+    """What ``search`` gives on ``docs`` for every block of items. With several blocks each one's result is written to the
+    shared folder and its index released before the next is built, so one index is all that is ever held."""
+    n, indexes = blocks
+    context = docs.sparkSession.sparkContext
+    all_ = None
+    for index in indexes:
+        shared = context.broadcast(index)
+        one = docs.mapInArrow(search(shared), schema)
+        if n > 1:
+            one = write_scratch(one, "leaks")
+            shared.destroy()
+        all_ = one if all_ is None else all_.unionByName(one)
+    return all_
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: Sequence[str] = ("passage", "question"), block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -191,75 +236,113 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     A hash set of all items' word 6-grams is broadcast. Each document's word windows are looked up in it, and
     every hit is verified by comparing the two texts word by word along the hit. No shuffle; documents stay
     where they are read, and whole. The index holds items, never documents; where the items are more than
-    ``block_chars`` of text, they are split by id hash and the documents scanned once for each block, so
-    that no broadcast grows beyond it.
+    ``block_chars`` of text, they are split by id hash and the documents scanned once for each block, one block after the
+    other, so that no more than one block's index is broadcast at a time.
 
     Result: doc_id, item_id, field, kind ('exact' or 'loose'), n_words, n_differing, first_word, end_word, start_char, end_char
     (end exclusive), longest stretches only. Null or empty texts hold nothing; a field of fewer than 12 words,
     null or empty can't leak; rows with a null id are reported under null (documents) or left out (items).
     Repeated documents are each reported; repeated item ids are one item.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("field", T.StringType()), T.StructField("kind", T.StringType())]
         + [T.StructField(c, T.IntegerType()) for c in ("n_words", "n_differing", "first_word", "end_word", "start_char", "end_char")]
     )
-    names = schema.names
-    all_ = None
-    for index in _blocks(items, item_id, fields, block_chars):
-        shared = spark.sparkContext.broadcast(index)
+    names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema.fields[1:]]
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def search(shared: Broadcast) -> Callable:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = []
-                keys, texts = b["_id"].tolist(), b["_text"].tolist()
-                for d, _, found in _scan(texts, shared.value):
-                    rows += [(keys[d], *r) for r in found]
-                yield pd.DataFrame(rows, columns=names)
-
-        one = over_cores(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))).mapInPandas(scan, schema)
-        all_ = one if all_ is None else all_.unionByName(one)
-    return all_.dropDuplicates(["doc_id", "item_id", "field", "start_char", "end_char"]) if _repeated(items, item_id) else all_
+                at, rows = [], []
+                for d, _, found in _scan(b.column("_text").to_pylist(), shared.value):
+                    at += [d] * len(found)
+                    rows += found
+                columns = list(zip(*rows)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
 
+        return scan
 
-def _repeated(items: DataFrame, item_id: str) -> bool:
-    return bool(items.groupBy(item_id).count().where("count > 1").head(1))
+    return _in_blocks(over_cores(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))), _blocks(items, item_id, fields, block_chars), search, schema)
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, how: str = "spans", doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: Sequence[str] = ("passage", "question"), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents without leaked stretches (``how='spans'``) or without documents that have any (``how='documents'``).
 
     All columns of ``docs`` are kept, ``text`` changed; clean documents pass as they are. Spans are cut from the first
-    to the last character of their words. Cutting happens in the scan itself: no join back, no shuffle. With
-    several blocks of items the blocks cut one after the other.
+    to the last character of their words, all spans of a text at once; what a cut brings together is searched again, so
+    ``find_leaks`` has nothing to find in the result, whatever ``block_chars``.
+
+    With one block of items, the rule, cutting happens in the scan itself: no join back, no shuffle. With several, the
+    leaking texts of every block (each known by its SHA-256) are gathered in the shared folder, their spans put together
+    and cut, and the cut texts, leaking ones only, searched in all blocks again until none leaks; one join by the
+    text's hash puts them in place.
     """
     if how not in ("spans", "documents"):
         raise ValueError(f"how must be 'spans' or 'documents', not {how!r}")
-    spark = docs.sparkSession
-    ship(spark)
-    out = docs
-    for index in _blocks(items, item_id, fields, block_chars):
-        shared = spark.sparkContext.broadcast(index)
-
-        def cut(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    ship(docs.sparkSession)
+    n, indexes = _blocks(items, item_id, fields, block_chars)
+    if n > 1:
+        return _removed_by_hash(docs, items, how, text, item_id, fields, block_chars)
+    place = docs.columns.index(text)
+
+    def cut(shared: Broadcast) -> Callable:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b[text].tolist()
-                drop = []
-                for d, whole, found in _scan(texts, shared.value):
-                    drop.append(d)
-                    kept, at = [], 0
-                    for s, e in sorted(r[7:] for r in found):
-                        if e > at:
-                            kept.append(whole[at : max(s, at)])
-                            at = e
-                    texts[d] = "".join(kept) + whole[at:]
+                texts = b.column(place).to_pylist()
                 if how == "spans":
-                    b = b.assign(**{text: pd.Series(texts, index=b.index, dtype=object)})
+                    for d, new in cut_leaks(texts, shared.value).items():
+                        texts[d] = new
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if k == place else c for k, c in enumerate(b.columns)], b.schema.names)
                 else:
-                    b = b.drop(index=b.index[drop])
-                yield b
+                    keep = np.ones(len(texts), bool)
+                    keep[[d for d, _, _ in _scan(texts, shared.value)]] = False
+                    yield b.filter(pa.array(keep))
 
-        out = over_cores(out).mapInPandas(cut, docs.schema)
-    return out
+        return scan
+
+    return _in_blocks(over_cores(docs), (n, indexes), cut, docs.schema)
+
+
+def _removed_by_hash(docs: DataFrame, items: DataFrame, how: str, text: str, item_id: str, fields: Sequence[str], block_chars: int) -> DataFrame:
+    """``remove_leaks`` for items of several blocks."""
+
+    def search(shared: Broadcast) -> Callable:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [(d, [r[7] for r in found], [r[8] for r in found]) for d, _, found in _scan(b.column("_text").to_pylist(), shared.value)]
+                at, starts, ends = zip(*got) if got else ((), (), ())
+                at = pa.array(at, pa.int64())
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("_hash").take(at), b.column("_text").take(at), pa.array(starts, ints), pa.array(ends, ints)], ["_hash", "_text", "_starts", "_ends"])
+
+        return scan
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, zip(s, e)) for t, s, e in zip(texts, starts, ends)], dtype=object)
+
+    hash_ = F.sha2(F.col(text), 256)
+    left = docs.where(F.col(text).isNotNull()).select(hash_.alias("_hash"), F.col(text).alias("_text"))
+    fixed = None
+    while True:
+        found = _in_blocks(over_cores(left), _blocks(items, item_id, fields, block_chars), search, "_hash string, _text string, _starts array<int>, _ends array<int>")
+        # a text has its spans once from each block, however many copies of it there are
+        once = found.dropDuplicates(["_hash", "_starts", "_ends"]).groupBy("_hash").agg(
+            F.first("_text").alias("_text"), F.flatten(F.collect_list("_starts")).alias("_starts"), F.flatten(F.collect_list("_ends")).alias("_ends")
+        )
+        cut = write_scratch(once.select("_hash", without("_text", "_starts", "_ends").alias("_text")), "cut")
+        if cut.isEmpty():
+            break
+        fixed = cut if fixed is None else write_scratch(fixed.join(cut.withColumnRenamed("_text", "_new"), "_hash", "left").select("_hash", F.coalesce("_new", "_text").alias("_text")), "cut")
+        if how == "documents":
+            break
+        left = cut
+    if fixed is None:
+        return docs
+    h, new = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("h", "t"))  # none of the documents' own columns
+    keyed, fixed = docs.withColumn(h, hash_), fixed.toDF(h, new)
+    if how == "documents":
+        return keyed.join(fixed, h, "left_anti").select(*docs.columns)
+    return keyed.join(fixed, h, "left").select(*[F.coalesce(new, c).alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -105,6 +105,35 @@ def test_every_loose_stretch_of_an_alignment(spark):
     assert not set(left) & set(wrong[:39] + wrong[81:138] + wrong[161:199]) and set(other[41:79]) <= set(left)
 
 
+def planted(spark):
+    """Two loose stretches at one shift, overlapping passages of two items, a text that leaks once cut, a nest of stretches, copies."""
+    w, v = item(6, 200).split(), item(7, 60).split()
+    wrong = [x + "x" if i % 8 == 7 else x for i, x in enumerate(w)]
+    other = item(99, 200).split()
+    both = v[:40] + w[:40]
+    texts = [
+        " ".join(wrong[:40] + other[40:80] + wrong[80:140] + other[140:160]), "so " + " ".join(both) + " end", " ".join([*other[:5], *v[:8], *w[10:30], *v[8:16], *other[5:9]]),
+        " ".join(wrong[:60] + ["here"] + w[20:40] + other[:3] + w[60:75]), "clean <b>text</b>", "", None,
+    ]
+    docs = spark.createDataFrame([(2**53 + 1 + i if i % 3 else None, t, "f", 5) for i, t in enumerate(texts + texts[:1])], "doc_id long, text string, _text string, _hash int")
+    items = [(1, " ".join(w), None, 1), (2, " ".join(v), " ".join(w[30:60]), 1), (3, " ".join(both[20:60]), None, 1), (4, " ".join(v[30:] + v[:20]), None, 1)]
+    return docs, spark.createDataFrame(items, ITEMS)
+
+
+@pytest.mark.parametrize("how", ["spans", "documents"])
+def test_nothing_is_left_to_find_whatever_the_blocks(spark, rows, how):
+    docs, items = planted(spark)
+    whole = rows(find_leaks(docs, items))
+    want = rows(remove_leaks(docs, items, how))
+    for chars in (64 << 20, 1500):
+        assert rows(find_leaks(docs, items, block_chars=chars)) == whole
+        left = remove_leaks(docs, items, how, block_chars=chars)
+        assert left.columns == docs.columns and rows(left) == want
+        assert find_leaks(left, items, block_chars=chars).collect() == []
+    assert len(want) == (docs.count() if how == "spans" else 3)
+    assert {r[0] for r in want} <= {r.doc_id for r in docs.collect()}
+
+
 def test_what_looks_like_a_tag_hides_nothing(spark):
     p = item(8, 13)
     code = "for (i=0;i<n;i++) f(i);\n" + p + "\n> quoted"

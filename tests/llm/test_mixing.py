@@ -4,8 +4,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from gnomon.llm.mixing import Classifier, features, mix_sources, short_sources
+from gnomon.llm import mixing
+from gnomon.llm.mixing import PLACES, Classifier, features, mix_sources, short_sources
 from gnomon.llm.tokens import STRETCH, TOKENIZER, count_tokens, encoding
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
@@ -37,7 +39,7 @@ def test_targets_are_met(spark):
     total = plan["c"]["tokens"] * 3 / 0.2  # c is the narrowest
     for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
         assert plan[s]["expected_tokens"] == pytest.approx(w * total, rel=1e-4)
-        assert plan[s]["share"] == pytest.approx(w, abs=0.04)
+        assert plan[s]["share"] == pytest.approx(w, abs=0.01)
     assert plan["c"]["least_rate"] == pytest.approx(3)
     used = mix.documents.selectExpr("max(copies) m", "min(copies) l", "count(*) n").first()
     assert used.m == 3 and used.l >= 0 and used.n == 520
@@ -49,7 +51,7 @@ def test_unlabelled_documents_are_judged_by_their_text(spark):
     t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2), (None, 0.1, 2)], TARGETS)
     mix = mix_sources(df, t)
     got = {r["doc_id"]: r for r in mix.documents.where("doc_id >= 90000").collect()}
-    assert got[90_000]["posterior"][0] > 800 and got[95_000]["posterior"][1] > 600
+    assert got[90_000]["posterior"][0] > 0.8 * PLACES and got[95_000]["posterior"][1] > 0.6 * PLACES
     assert got[95_001]["tokens"] == 0 and mix.documents.count() == df.count()
     plan = {r["source"]: r for r in mix.plan.collect()}
     assert plan["a"]["expected_tokens"] == pytest.approx(plan["b"]["expected_tokens"], rel=1e-3)
@@ -66,6 +68,39 @@ def test_classifier_on_held_out_rows():
     assert sum("abc"[k] == s for k, (s, _) in zip(best, data[400:])) >= 190
 
 
+def test_wrong_labels_are_seen_through(spark):
+    """A fifth of a's texts are recorded as b: the fit must be nearer to the true sizes than the recorded ones are."""
+    df = docs(spark, {"a": 600, "b": 200, "c": 200})
+    wrong = df.withColumn("source", F.when((F.col("source") == "a") & (F.col("doc_id") % 50 == 1), "b").otherwise(F.col("source")))
+    t = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.3, 2)], TARGETS)
+    true = {r["source"]: r["tokens"] for r in mix_sources(df, t).plan.collect()}
+    mix = mix_sources(wrong, t, total=float(sum(true.values())) / 2)
+    for r in mix.plan.collect():
+        assert abs(r["domain_tokens"] - true[r["source"]]) < 0.03 * true[r["source"]] + 0.1 * abs(r["tokens"] - true[r["source"]])
+        assert r["expected_tokens"] == pytest.approx(r["target_tokens"], rel=1e-3)
+    assert {r["source"]: r["tokens"] for r in mix.plan.collect()}["b"] > 1.5 * true["b"]
+
+
+def test_confusion_of_held_out_rows():
+    rng = random.Random(3)
+    make = lambda s: " ".join(rng.choices(WORDS[s].split() + ["the", "of", "and"], k=12))
+    flip = lambda s: rng.choice("abc".replace(s, "")) if rng.random() < 0.2 else s
+    data = [(flip(s), features(make(s))) for _ in range(800) for s in "abc"]
+    noisy = Classifier(["a", "b", "c"], data[:1200], data[1200:])
+    assert noisy.confusion.diagonal() == pytest.approx([0.8] * 3, abs=0.06)
+    alike = [(rng.choice("abc"), features(make("a"))) for _ in range(2400)]  # texts that tell nothing speak against no source
+    assert (Classifier(["a", "b", "c"], alike[:1200], alike[1200:]).confusion.diagonal() > 0.97).all()
+
+
+def test_few_and_many_cells_give_the_same_mix(spark, rows, monkeypatch):
+    df = docs(spark, {"a": 60, "b": 40}, [(90_000, None, WORDS["a"], 0, 0, 0)])
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGETS)
+    few = rows(mix_sources(df, t).plan)
+    monkeypatch.setattr(mixing, "CELLS", 1)
+    many = rows(mix_sources(df, t).plan)
+    assert [r[:2] for r in many] == [r[:2] for r in few] and all(a[5:10] == pytest.approx(b[5:10], rel=1e-6) for a, b in zip(many, few))
+
+
 def test_empty(spark):
     df, t = docs(spark, {"a": 3}), spark.createDataFrame([("a", 1.0, 1), ("gone", 0.5, 2)], TARGETS)
     assert mix_sources(df.where("false"), t).documents.collect() == []

@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..runtime import over_cores, ship, write_scratch
 from .encodings import DECODE, DOUBLE, ENCODE, PAIRS, SINGLE, TWICE, WIDE, utf8_units, wide_bytes
@@ -33,6 +35,8 @@ MIXED = -7.0
 #: Text that was garbled again and again is restored in as many rounds.
 ROUNDS = 3
 
+#: Characters of texts that are labelled together.
+TOGETHER = 60_000
 #: What a capital costs against its small letter.
 CAPITAL = -1.5
 
@@ -96,12 +100,12 @@ class Characters:
 
     def knows(self, cp: np.ndarray) -> np.ndarray:
         """Whether each character is more than a rarity."""
-        return self._docs(np.full(len(cp), _CLASSES + _ANY), cp) > 0 if len(self.keys) else np.zeros(len(cp), bool)
+        return self._docs(np.full(len(cp), _CLASSES + _ANY), cp) > 0 if len(self.keys) and len(cp) else np.zeros(len(cp), bool)
 
     def log(self, before: np.ndarray, cp: np.ndarray) -> np.ndarray:
         """The log probability of each character after its context. A capital after a capital or a space is at least
         about as likely as the small letters would be: text in capitals is rare, but no sign of anything."""
-        if not self.n or not len(self.keys):
+        if not self.n or not len(self.keys) or not len(cp):
             return np.full(len(cp), UNKNOWN)
         out = self._log(before, cp)
         small = _SMALL[np.minimum(cp, 0xFFFF)]
@@ -321,67 +325,100 @@ def _twice_units(cp: np.ndarray, d: str) -> tuple[np.ndarray, np.ndarray]:
     return out_u, out_size
 
 
-def _label(text: str, model: Characters) -> tuple[np.ndarray, np.ndarray]:
-    """The likeliest state of every place: -1 clean, len(PAIRS) lost, else the number of a pair. And 1 where quoted."""
-    cp = points(text)
-    n = len(cp)
-    ctx = context(cp)
-    before = np.concatenate([[32], ctx[:-1]]) if n else ctx
-    at = np.flatnonzero(cp >= 128)
-    out, quoted = np.full(n, -1, np.int16), np.zeros(n, bool)
-    for m in _QUOTED.finditer(text):
-        quoted[m.start() : m.end()] = True
-    if not len(at):
-        return out, quoted
-    clean = np.zeros(n)
+def _labels(texts: list[str], model: Characters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of every text the likeliest state of every place: -1 clean, len(PAIRS) lost, else the number of a pair. And True
+    where quoted. States are scored for many texts at once, then each text's path is searched."""
+    for r in portions(texts, TOGETHER):
+        yield from _labels_together(texts[r.start : r.stop], model)
+
+
+def _labels_together(texts: list[str], model: Characters) -> list[tuple[np.ndarray, np.ndarray]]:
+    cp, doc = _batch(texts)
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    quoted = np.zeros(len(cp), bool)
+    for d, t in enumerate(texts):
+        for m in _QUOTED.finditer(t) if "`" in t else ():
+            quoted[first[d] + m.start() : first[d] + m.end()] = True
+    out = [(np.full(len(t), -1, np.int16), quoted[first[d] : first[d + 1] - 1]) for d, t in enumerate(texts)]
+    ctx, rare = context(cp), cp >= 128
+    at = np.flatnonzero(rare)
+    before = np.concatenate([[32], ctx[:-1]])
+    clean = np.zeros(len(cp))
     clean[at] = model.log(before[at], cp[at])
-    odd = at[((clean[at] < DOUBTFUL) | (cp[at] == _LOST)) & ~quoted[at]]
-    if not len(odd):  # a state must explain something that the clean one can't
-        return out, quoted
-    low = np.where(cp < 0x10000, cp, 0)
-    states: list[int] = []
-    gains: list[np.ndarray] = []
-    doors: list[np.ndarray] = []
-
-    def offer(state: int, gain: np.ndarray, door: np.ndarray | None = None) -> None:
-        gain = np.where(quoted, 0.0, gain)[at]
-        if np.maximum(gain, 0).sum() > -(ENTER + LEAVE):
-            states.append(state)
-            gains.append(gain)
-            doors.append(np.ones(len(at), bool) if door is None else door[at])
-
-    raw, raw_odd = {d: ENCODE[d][low] for d in SINGLE}, {d: ENCODE[d][low[odd]] for d in SINGLE}
+    odd = np.zeros(len(cp), bool)
+    odd[at] = ((clean[at] < DOUBTFUL) | (cp[at] == _LOST)) & ~quoted[at]
+    asked = np.zeros(len(texts), bool)  # a state must explain something that the clean one can't
+    asked[doc[odd]] = True
+    # from here on only non-ASCII characters and the ones next to them
+    rare[1:] |= cp[:-1] >= 128
+    rare[:-1] |= cp[1:] >= 128
+    rare &= asked[doc]
+    if not rare.any():
+        return out
+    rare[first[1:] - 1] = True  # and the line breaks between texts
+    place = np.flatnonzero(rare)
+    line = np.cumsum(cp == 10)[place]
+    cp, ctx, doc, quoted, clean, odd = cp[place], ctx[place], doc[place], quoted[place], clean[place], odd[place]
+    at = np.flatnonzero(cp >= 128)
+    of, free, low = doc[at], ~quoted[at], np.where(cp < 0x10000, cp, 0)
+    offered: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    part = np.searchsorted(of, np.arange(len(texts) + 1))
+
+    def docs_with(places: np.ndarray) -> np.ndarray:
+        got = np.zeros(len(texts), bool)
+        got[doc[places]] = True
+        return got
+
+    def offer(state: int, gain: np.ndarray, door: np.ndarray | None, to: np.ndarray) -> None:
+        gain = np.where(free, gain[at], 0.0)
+        door = np.ones(len(at), bool) if door is None else door[at]
+        worth = np.bincount(of, np.maximum(gain, 0), len(texts)) > -(ENTER + LEAVE)
+        for d in np.flatnonzero(worth & to).tolist():
+            a, b = part[d], part[d + 1]
+            offered[d].append((state, gain[a:b], door[a:b]))
+
+    raw = {d: ENCODE[d][low] for d in SINGLE}
     for i, (e, d) in enumerate(PAIRS):
         if d in WIDE:
-            if (cp[odd] > 0x2E80).any():
-                offer(i, *_wide_gains(_wide_units(text, WIDE[d]), cp, ctx, clean, model))
+            to = docs_with(odd & (cp > 0x2E80))
+            if to.any():
+                units = [(first[k] + a, first[k] + b, says) for k in np.flatnonzero(to).tolist() for a, b, says in _wide_units(texts[k], WIDE[d])]
+                where = np.searchsorted(place, [x[0] for x in units])
+                offer(i, *_wide_gains([(int(w), int(w + b - a), says) for w, (a, b, says) in zip(where, units)], cp, ctx, clean, model), to)
             continue
         b = raw[d]
-        can_odd = raw_odd[d] >= 0
-        if not can_odd.any():
+        to = docs_with(odd & (b >= (0x81 if e in DOUBLE else 0)))
+        if not to.any():
             continue
         if e == "utf-8":
-            offer(i, *_unit_gains(utf8_units(b), cp, ctx, clean, model))
+            offer(i, *_unit_gains(utf8_units(b), cp, ctx, clean, model), to)
         elif e == TWICE:
-            offer(i, *_unit_gains(_twice_units(cp, d), cp, ctx, clean, model))
+            offer(i, *_unit_gains(_twice_units(cp, d), cp, ctx, clean, model), to)
         elif e in DOUBLE:
-            if (raw_odd[d] >= 0x81).any():
-                offer(i, *_unit_gains(_double_units(cp, b, DOUBLE[e]), cp, ctx, clean, model))
-        elif model.knows(DECODE[e][raw_odd[d][can_odd]]).any():
+            offer(i, *_unit_gains(_double_units(cp, np.where(to[doc], b, -1), DOUBLE[e]), cp, ctx, clean, model), to)
+        else:
             says = np.where(b >= 0, DECODE[e][np.maximum(b, 0)], ctx)
-            prev = np.concatenate([[32], says[:-1]])
-            gain = np.full(n, IMPOSSIBLE)
-            can = at[b[at] >= 0]
-            gain[can] = model.log(prev[can], says[can]) + _foreign(says[can], can + 1, ctx) - clean[can]
-            offer(i, gain)
-    offer(len(PAIRS), np.where(cp == _LOST, -UNKNOWN, IMPOSSIBLE))
-    if not states:
-        return out, quoted
-    g = np.stack(gains, 1)
+            can = np.flatnonzero(odd & (b >= 0))
+            to = docs_with(can[model.knows(says[can])])
+            if to.any():
+                prev = np.concatenate([[32], says[:-1]])
+                gain = np.full(len(cp), IMPOSSIBLE)
+                can = at[(b[at] >= 0) & to[of]]
+                gain[can] = model.log(prev[can], says[can]) + _foreign(says[can], can + 1, ctx) - clean[can]
+                offer(i, gain, None, to)
+    offer(len(PAIRS), np.where(cp == _LOST, -UNKNOWN, IMPOSSIBLE), None, asked)
+    for d, states in enumerate(offered):
+        if states:
+            mine = at[part[d] : part[d + 1]]
+            out[d][0][place[mine] - first[d]] = _path([x[0] for x in states], np.stack([x[1] for x in states], 1), np.stack([x[2] for x in states], 1), place[mine], line[mine])
+    return out
+
+
+def _path(states: list[int], g: np.ndarray, doors: np.ndarray, at: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The likeliest state of each place ``at`` of a text, by the gains ``g`` [place, state] and where states may be entered."""
     common = np.array([s == len(PAIRS) or PAIRS[s][0] in ("utf-8", TWICE, "latin") for s in states])
-    enter = np.where(np.stack(doors, 1), np.where(common, ENTER, ENTER + UNCOMMON), -np.inf)
-    k = len(states)
-    m = len(at)
+    enter = np.where(doors, np.where(common, ENTER, ENTER + UNCOMMON), -np.inf)
+    m, k = g.shape
     entered, before_hub = np.zeros((m, k), bool), np.full(m, -1, np.int16)
     clean_score, v = 0.0, np.full(k, -np.inf)
     for t in range(m):
@@ -399,9 +436,8 @@ def _label(text: str, model: Characters) -> tuple[np.ndarray, np.ndarray]:
             path[t] = states[s]
         if s < 0 or entered[t, s]:
             s = int(before_hub[t])
-    _spread(path, at, g, states, np.cumsum(cp == 10))
-    out[at] = path
-    return out, quoted
+    _spread(path, at, g, states, line)
+    return path
 
 
 def _spread(path: np.ndarray, at: np.ndarray, g: np.ndarray, states: list[int], line: np.ndarray) -> None:
@@ -412,31 +448,44 @@ def _spread(path: np.ndarray, at: np.ndarray, g: np.ndarray, states: list[int],
         step = order.step
         for t in order:
             s = path[t - step]
-            if path[t] < 0 and s >= 0 and abs(int(at[t]) - int(at[t - step])) <= REACH and line[at[t]] == line[at[t - step]] and g[t, column[s]] > SIMILAR:
+            if path[t] < 0 and s >= 0 and abs(int(at[t]) - int(at[t - step])) <= REACH and line[t] == line[t - step] and g[t, column[s]] > SIMILAR:
                 path[t] = s
 
 
-def restore(text: str, model: Characters) -> tuple[str, list[tuple[int, int, str, str]]]:
-    """The text with every labelled span turned back, and the spans of the given text: (start, end, true encoding, read
-    as). Lost characters stay, as ('', 'replaced'). Rounds after the first undo repeated garbling; their spans
-    are reported at the places of the first."""
-    spans: list[tuple[int, int, str, str]] = []
-    for round_ in range(ROUNDS):
-        label, quoted = _label(text, model)
-        marked = np.flatnonzero(label >= 0)
-        if not len(marked):
+Span = tuple[int, int, str, str]
+
+
+def restore_all(texts: list[str], model: Characters) -> list[tuple[str, list[Span], bool]]:
+    """Every text with its labelled spans turned back; the spans of the given text: (start, end, true encoding, read
+    as); and whether nothing garbled or lost is left. Lost characters stay, as ('', 'replaced'). Rounds after the first
+    undo repeated garbling; their spans are reported at the places of the first."""
+    now, spans, whole = list(texts), [[] for _ in texts], [True] * len(texts)
+    left = list(range(len(texts)))
+    for round_ in range(ROUNDS + 1):
+        changed = []
+        for d, (label, quoted) in zip(left, _labels([now[d] for d in left], model)):
+            marked = np.flatnonzero(label >= 0)
+            whole[d] = not len(marked)
+            if not len(marked) or round_ == ROUNDS:
+                continue
+            if round_ == 0:
+                edge = np.flatnonzero((np.diff(label[marked]) != 0) | (np.diff(marked) > 40)) + 1
+                for part in np.split(marked, edge):
+                    e, read = PAIRS[label[part[0]]] if label[part[0]] < len(PAIRS) else ("", "replaced")
+                    spans[d].append((int(part[0]), int(part[-1]) + 1, e, read))
+            new = _turn_back(now[d], label, quoted)
+            if new != now[d]:
+                now[d] = new
+                changed.append(d)
+        left = changed
+        if not left:
             break
-        if round_ == 0:
-            edge = np.flatnonzero(np.diff(label[marked]) != 0) + 1
-            gap = np.flatnonzero(np.diff(marked) > 40) + 1
-            for part in np.split(marked, np.union1d(edge, gap)):
-                e, d = PAIRS[label[part[0]]] if label[part[0]] < len(PAIRS) else ("", "replaced")
-                spans.append((int(part[0]), int(part[-1]) + 1, e, d))
-        new = _turn_back(text, label, quoted)
-        if new == text:
-            break
-        text = new
-    return text, spans
+    return [(t, s, w and chr(_LOST) not in t) for t, s, w in zip(now, spans, whole)]
+
+
+def restore(text: str, model: Characters) -> tuple[str, list[Span]]:
+    """``restore_all`` of one text: the text and its spans."""
+    return restore_all([text], model)[0][:2]
 
 
 def _turn_back(text: str, label: np.ndarray, quoted: np.ndarray) -> str:
@@ -509,16 +558,16 @@ def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("true_encoding", T.StringType()), T.StructField("read_as", T.StringType())])
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("spans", T.ArrayType(span)), T.StructField("restored", T.StringType()), T.StructField("whole", T.BooleanType())])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            keys, texts = b["i"].tolist(), b["t"].tolist()
-            rows = []
-            for d in (r.start + d for r in portions(texts) for d in doubtful(texts[r.start : r.stop], m).tolist()):
-                restored, spans = restore(texts[d], m)
-                if spans:
-                    whole = "�" not in restored and not (_label(restored, m)[0] >= 0).any()
-                    rows.append((keys[d], [dict(zip(span.names, s)) for s in spans], restored, whole))
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return over_cores(docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))).mapInPandas(scan, schema)
+            texts = b.column("t").to_pylist()
+            asked = [r.start + d for r in portions(texts) for d in doubtful(texts[r.start : r.stop], m).tolist()]
+            rows = [(d, *x) for d, x in zip(asked, restore_all([texts[d] for d in asked], m)) if x[1]]
+            at, restored, spans, whole = zip(*rows) if rows else ((), (), (), ())
+            spans = [[dict(zip(span.names, x)) for x in of] for of in spans]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("i").take(pa.array(at, pa.int64())), pa.array(spans, to_arrow_type(schema["spans"].dataType)), pa.array(restored, pa.string()), pa.array(whole, pa.bool_())], schema.names
+            )
+
+    return over_cores(docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))).mapInArrow(scan, schema)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_root
+from ..runtime import scratch_path, scratch_root
 from ..session import Engine
 from ..sources.adapters import TAGS, metric
 from ..streaming.subscriptions import run_once
@@ -175,7 +173,7 @@ for _n in ("global_sum", "global_sum_where"):
 # -- statements that write, on a scratch store
 def _stored(spark: SparkSession, sf: str, **settings):
     """The events as a stored metric of a fresh engine."""
-    e = Engine(spark, f"{scratch_root(spark)}/gnomon-store-{uuid.uuid4().hex}")
+    e = Engine(spark, scratch_path(spark, "store"))
     h = e.db("db").namespace("ns").metric("events")
     if settings:
         h.init(**settings)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from gnomon.operators.spikes import CALM, EXPAND, judge_readings
+from gnomon.operators.spikes import CALM, EXPAND, judge_readings, thin
 
 READINGS = "db string, namespace string, metric string, timestamp long, value double, name string, stuck int"
 LIMITS = "db string, namespace string, metric string, value_low double, value_high double"
@@ -93,8 +93,55 @@ def test_empty(spark):
 
 
 def test_rate(spark):
-    series = {"calm": [(i * 1000, float(i % 5)) for i in range(200)]}
-    assert any(r["too_fast"] for r in judge_readings(frame(spark, series), spark.createDataFrame([], LIMITS), max_rate=0.01).collect())
+    """A leap is too fast by the source's own rates; the same change in small steps, or in a source that always leaps, isn't."""
+    rng = random.Random(2)
+    series = {n: [(i * 1000, 20 + rng.gauss(0, 0.3)) for i in range(300)] for n in ("leap", "slow", "wild")}
+    series["leap"] = [(t, v + (30 if t >= 150_000 else 0)) for t, v in series["leap"]]
+    series["slow"] = [(t, v + t / 10_000) for t, v in series["slow"]]
+    series["wild"] = [(t, v + 30 * rng.random()) for t, v in series["wild"]]
+    df, none = frame(spark, series), spark.createDataFrame([], LIMITS)
+    for size in (500_000, 50):
+        got = judge_readings(df, none, rows_per_chunk=size).where("too_fast").collect()
+        assert [(r["name"], r["timestamp"]) for r in got] == [("leap", 150_000)]
+
+
+def long_and_stuck():
+    """A source with stuck stretches of many lengths, impossible ones among them, and spikes right beside."""
+    rng = random.Random(11)
+    p = [(i * 20_000, round(20 + rng.gauss(0, 0.5), 2)) for i in range(3000)]
+    for a, b, v in ((300, 305, 20.0), (600, 1095, 21.25), (1100, 1105, 21.25), (1300, 1330, 9999.0), (1330, 1390, 19.0), (1990, 2002, 22.0), (2400, 2990, 20.5)):
+        for i in range(a, b):
+            p[i] = (p[i][0], v)
+    for i in (299, 598, 1097, 1098, 1294, 1400, 1988, 2005, 2393, 2995):
+        p[i] = (p[i][0], p[i][1] + 30)
+    return p
+
+
+def test_cuts_beside_stuck_stretches_change_nothing(spark, rows):
+    series = {"s": long_and_stuck(), "t": [(t + 7, v) for t, v in long_and_stuck()[500:1200]], "short": [(i, float(i % 3)) for i in range(30)]}
+    df, limits = frame(spark, series), spark.createDataFrame([("d", "n", "m", -50.0, 500.0)], LIMITS)
+    columns = ["name", "timestamp", "value", "baseline", "impossible", "spike", "stuck", "too_fast"]
+    whole = rows(judge_readings(df, limits).select(*columns))
+    assert sum(r[5] for r in whole) > 8 and sum(r[6] for r in whole) > 1000
+    for size in (40, 350, 1000):  # under 180 readings an hour, milliseconds cut
+        assert rows(judge_readings(df, limits, rows_per_chunk=size).select(*columns)) == whole
+
+
+def test_thin_ends():
+    rng = random.Random(5)
+    for _ in range(200):
+        v = []
+        while len(v) < 300:
+            v += [float(rng.randrange(50))] * rng.choice([1, 1, 1, 2, 5, 11, 12, 13, 40])
+        v = np.array(v)
+        bad, gap = np.array([rng.random() < 0.1 for _ in v]), np.zeros(len(v), bool)
+        keep, gaps, full = thin(np.arange(len(v)), v, bad, gap)
+        run = np.cumsum(np.append(True, v[1:] != v[:-1])) - 1
+        length = np.bincount(run)[run]
+        usable = np.flatnonzero(~bad & (length < 12))
+        kept = keep[~gaps]
+        assert set(usable[usable <= keep[-1]]) <= set(kept) and (full or keep[-1] == len(v) - 1)
+        assert (v[keep[: min(12, length[0])]] == v[0]).all() and (not full or len(usable[usable <= keep[-1]]) >= 40) and len(keep) < 250
 
 
 def test_a_run_by_chance_or_a_repeated_sentinel_hides_no_spike(spark):

@@ -14,7 +14,7 @@ from .plans.analyzer import check, check_condition, with_filters
 from .plans.compiler import compile_select
 from .plans.parser import parse
 from .sources.catalog import Catalog, scalar
-from .sources.metric import Metric
+from .sources.metric import Metric, as_records
 from .streaming.subscriptions import Publisher
 
 
@@ -35,6 +35,12 @@ class Engine:
     def databases(self) -> DataFrame:
         return self.spark.createDataFrame([(d,) for d in self.catalog.databases()], "db string")
 
+    def dump_metadata(self, path: str) -> int:
+        return self.catalog.dump_metadata(path)
+
+    def restore_metadata(self, path: str) -> int:
+        return self.catalog.restore_metadata(path)
+
     @staticmethod
     def parse(sql: str) -> A.Node:
         """The statement as an AST; ``.to_dict()`` echoes it as plain data."""
@@ -103,11 +109,22 @@ class Namespace:
 
     query = execute
 
-    def subscribe(self, sql: str, callback: Callable[[DataFrame, int], None], now_ms: int | None = None, every_ms: int = 5000) -> tuple[str, DataFrame]:
-        """The historical result, and from then on a publication per trigger; the id ends it in ``unsubscribe``."""
+    def records(self, sql: str, **how) -> DataFrame:
+        """The result of a select as records: timestamp, value, ``dimensions{}``, ``tags{}``, and the same as ``json``."""
+        s = parse(sql)
+        if not isinstance(s, A.Select):
+            raise StatementError("only a select has records")
+        return as_records(self.execute(sql, **how), self.engine.catalog.metric(self.db, self.name, s.metric))
+
+    def subscribe(
+        self, sql: str, callback: Callable[[DataFrame, int], None], now_ms: int | None = None, every_ms: int = 5000, filters=(), from_: int | None = None, to: int | None = None
+    ) -> tuple[str, DataFrame]:
+        """The historical result, and from then on a publication per trigger; the id ends it in ``unsubscribe``. Filters and
+        times restrict both, as in ``execute``."""
         s = parse(sql)
         if not isinstance(s, A.Select):
             raise StatementError("only a select can be subscribed to")
+        s = replace(s, where=with_filters(s.where, filters, from_, to))
         return self.engine.publisher.subscribe(s, self.engine.catalog.metric(self.db, self.name, s.metric), callback, now() if now_ms is None else now_ms, every_ms)
 
     def unsubscribe(self, subscriber: str) -> None:
@@ -135,6 +152,10 @@ class MetricHandle:
         """Append many records: a DataFrame with timestamp, value, tags and dimensions. The way to load."""
         self.home.engine.catalog.append(*self._c(), df, tags, dimensions or [], now() if now_ms is None else now_ms)
 
+    def compact(self) -> None:
+        """Put the small files of each shard together."""
+        self.home.engine.catalog.compact(*self._c())
+
     def apply_retention(self, now_ms: int | None = None) -> None:
         self.home.engine.catalog.apply_retention(*self._c(), now() if now_ms is None else now_ms)
 

@@ -1,7 +1,8 @@
 """The catalog: databases, namespaces and metrics kept as time-sharded Parquet, with their schemas and settings.
 
 Layout: root/db/namespace/metric/_metric.json and root/db/namespace/metric/data/shard_from=.../*.parquet. A shard holds
-[shard_from, shard_from + interval), so a timestamp has one place.
+[shard_from, shard_from + interval), so a timestamp has one place. Files of appended records are called part-*, of records
+that were written again (after a removal or a compaction) kept-*. A metric has one writer at a time.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ from ..operators.common import floor_div
 from ..plans import ast as A
 from ..plans.analyzer import check_condition
 from ..plans.compiler import predicate, scan
+from ..runtime import write_scratch
 from .files import Files
 from .metric import DEFAULT_SHARD_MS, Field, Metric
 
 TYPES = {"INT": T.IntegerType(), "BIGINT": T.LongType(), "DECIMAL": T.DoubleType(), "VARCHAR": T.StringType()}
 _DURATION = re.compile(r"\s*(\d+)\s*([A-Za-z]+)\s*\Z")
+#: Bytes that a shard's files should have, on average, at least; a compaction writes files of about twice that.
+SMALL_FILE = 64 << 20
+#: How far back files may have begun that are yet to appear, in days.
+IN_FLIGHT_DAYS = 1
 #: Units of durations in settings, in milliseconds (fixed values).
 _UNITS = {"ms": 1, "s": 1000, "second": 1000, "seconds": 1000, "min": 60_000, "minute": 60_000, "minutes": 60_000, "h": 3_600_000, "hour": 3_600_000, "hours": 3_600_000, "d": 86_400_000, "day": 86_400_000, "days": 86_400_000}
 
@@ -49,6 +55,11 @@ def scalar(x: object) -> object:
     return x
 
 
+def _tail(path):
+    """Shard and name of a file, which tell it from all others of its metric."""
+    return F.regexp_extract(path, "([^/]+/[^/]+)$", 1)
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
@@ -85,6 +96,7 @@ class Catalog:
     def metric(self, db: str, namespace: str, name: str) -> Metric:
         if (db, namespace, name) in self.views:
             return self.views[db, namespace, name]
+        self._recover(self._dir(db, namespace, name))
         info = self._info(db, namespace, name)
         if info is None or not info["fields"]:
             raise NotFound(f"Metric {name} does not exist")
@@ -101,7 +113,30 @@ class Catalog:
         def stream() -> DataFrame:
             return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(data)
 
-        return Metric(db, namespace, name, fields, rows, interval, info["retention_ms"], "shard_from", starts, stream)
+        def news() -> DataFrame:
+            """The stream of records appended after this call. Files that were there before are left out by time, which the scan
+            prunes by, and the youngest of them, beside which others may yet appear, by name."""
+            df = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).option("pathGlobFilter", "part-*.parquet").parquet(data)
+            files = self._files(data)
+            newest = files.agg(F.max("modificationTime")).first()[0]
+            if newest is None:
+                return df
+            since = F.lit(newest) - F.expr(f"interval {IN_FLIGHT_DAYS} days")
+            names = files.where(F.col("modificationTime") >= since).select(_tail(F.col("path")).alias("_file"))
+            tagged = df.where(F.col("_metadata.file_modification_time") >= since).select("*", _tail(F.col("_metadata.file_path")).alias("_file"))
+            return tagged.join(write_scratch(names, "files"), "_file", "left_anti").drop("_file")
+
+        def current() -> Metric:
+            return self.metric(db, namespace, name)
+
+        return Metric(db, namespace, name, fields, rows, interval, info["retention_ms"], "shard_from", starts, stream, news, current, info.get("rewrites", 0))
+
+    def _files(self, data: str) -> DataFrame:
+        """One row for each file of a metric: path, modificationTime, length; listed by executors, none is read."""
+        if not self.files.names(data):
+            return self.spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, shard_from bigint")
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(data)
+        return found.select("path", "modificationTime", "length", F.col("shard_from").cast("bigint").alias("shard_from"))
 
     # -- settings and records
     def init_metric(self, db: str, namespace: str, name: str, shard_interval: int | str = 0, retention: int | str = 0) -> None:
@@ -113,7 +148,8 @@ class Catalog:
     def append(self, db: str, namespace: str, name: str, df: DataFrame, tags: list[str], dimensions: list[str], now_ms: int) -> None:
         """Append records; their fields join the schema. A field of another type or role is refused, nothing is written then.
 
-        With a retention, records further than it from now, past or future, are accepted but not kept.
+        With a retention, records further than it from now, past or future, are accepted but not kept. Records are
+        rebalanced by shard before the write: a shard gets files by its size, however many tasks there were.
         """
         c = (db, namespace, name)
         info = self._info(*c) or {"shard_ms": DEFAULT_SHARD_MS, "retention_ms": 0, "fields": {}}
@@ -132,8 +168,16 @@ class Catalog:
         if info["retention_ms"]:
             rows = rows.where((F.col("timestamp") >= now_ms - info["retention_ms"]) & (F.col("timestamp") <= now_ms + info["retention_ms"]))
         rows = rows.withColumn("shard_from", floor_div(F.col("timestamp"), info["shard_ms"]) * info["shard_ms"])
-        self._save(c, info | {"fields": fields})
-        rows.write.mode("append").partitionBy("shard_from").parquet(f"{self._dir(*c)}/data")
+        before = self._info(*c)
+        self._save(c, info | {"fields": fields})  # before the write: records of unknown fields would be invisible
+        try:
+            rows.hint("rebalance", "shard_from").write.mode("append").partitionBy("shard_from").parquet(f"{self._dir(*c)}/data")
+        except BaseException:
+            if before is None:
+                self.files.delete(self._json(*c))
+            else:
+                self._save(c, before)
+            raise
 
     def insert(self, db: str, namespace: str, s: A.Insert, now_ms: int, int_fields: bool = True) -> None:
         """One record. Whole numbers in a statement's assignments are INT, those of clients BIGINT."""
@@ -152,31 +196,63 @@ class Catalog:
         self.append(db, namespace, s.metric, self.spark.createDataFrame([tuple(record.values())], schema), list(tags), list(dims), now_ms)
 
     # -- removal
-    def _rewrite(self, m: Metric, gone: DataFrame, keep) -> None:
-        """Replace the shards that ``gone`` has rows in by their rows that ``keep`` passes: written aside first, then swapped.
+    def _rewrite(self, m: Metric, touched: list[int], keep) -> None:
+        """Replace the shards ``touched`` by their rows that ``keep`` passes: written aside first, then swapped.
 
-        The list of shards is metadata, one number for each.
+        The list of shards is metadata, one number for each. A swap that breaks off is finished by whoever opens the metric next.
         """
-        touched = sorted(r[0] for r in gone.select("shard_from").distinct().collect())
         if not touched:
             return
         base = self._dir(m.db, m.namespace, m.name)
         staging = f"{base}/_staging-{uuid.uuid4().hex}"
-        rows = m.rows().where(F.col("shard_from").isin(touched))
-        keep(rows).write.partitionBy("shard_from").parquet(staging)
-        kept = set(self.files.names(staging))
-        for s in touched:
-            at = f"shard_from={s}"
-            self.files.delete(f"{base}/data/{at}")
-            if at in kept:
-                self.files.move(f"{staging}/{at}", f"{base}/data/{at}")
+        rows = keep(m.rows().where(F.col("shard_from").isin(touched)))
+        rows.hint("rebalance", "shard_from").write.option("mapreduce.output.basename", "kept").partitionBy("shard_from").parquet(f"{staging}/new")
+        kept = [n for n in self.files.names(f"{staging}/new") if n.startswith("shard_from=")]
+        self.files.write(f"{staging}/_ready.json", json.dumps({"touched": [f"shard_from={s}" for s in touched], "kept": kept}))
+        self._swap(base, staging)
+
+    def _swap(self, base: str, staging: str) -> None:
+        """Put the written shards in place of the old ones, which are moved aside before anything is deleted. Every step may be the last before a
+        failure, and all of them may be repeated."""
+        ready = json.loads(self.files.read(f"{staging}/_ready.json"))
+        for shard in ready["touched"]:
+            new, here, old = f"{staging}/new/{shard}", f"{base}/data/{shard}", f"{staging}/old/{shard}"
+            waiting = self.files.exists(new)
+            if self.files.exists(here) and not self.files.exists(old) and (waiting or shard not in ready["kept"]):
+                self.files.move(here, old)
+            if waiting:
+                self.files.move(new, here)
+        c = tuple(base[len(self.root) + 1 :].split("/"))
+        info = self._info(*c)
+        self._save(c, info | {"rewrites": info.get("rewrites", 0) + 1})
         self.files.delete(staging)
 
+    def _recover(self, base: str) -> None:
+        """Finish the swaps that a failed writer left, and remove what it hadn't written in full."""
+        for n in self.files.names(base):
+            if n.startswith("_staging-"):
+                if self.files.exists(f"{base}/{n}/_ready.json"):
+                    self._swap(base, f"{base}/{n}")
+                else:
+                    self.files.delete(f"{base}/{n}")
+
+    @staticmethod
+    def _shards_with(df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in df.select("shard_from").distinct().collect())
+
+    def compact(self, db: str, namespace: str, name: str, small: int = SMALL_FILE) -> list[int]:
+        """Write the shards again that hold several files of less than ``small`` bytes on average; returns them."""
+        m = self._stored(db, namespace, name)
+        sizes = self._files(f"{self._dir(db, namespace, name)}/data").groupBy("shard_from").agg(F.count("*").alias("n"), F.avg("length").alias("size"))
+        touched = self._shards_with(sizes.where((F.col("n") > 1) & (F.col("size") < small)))
+        self._rewrite(m, touched, lambda df: df)
+        return touched
+
     def delete(self, db: str, namespace: str, s: A.Delete, now_ms: int) -> None:
         """Remove the records that meet the condition. Only shards with such records are rewritten."""
         m = self._stored(db, namespace, s.metric)
         check_condition(s.where, m, now_ms)
-        self._rewrite(m, scan(m, s.where, now_ms), lambda df: df.where(~F.coalesce(predicate(s.where, m, now_ms), F.lit(False))))
+        self._rewrite(m, self._shards_with(scan(m, s.where, now_ms)), lambda df: df.where(~F.coalesce(predicate(s.where, m, now_ms), F.lit(False))))
 
     def apply_retention(self, db: str, namespace: str, name: str, now_ms: int) -> None:
         """Drop shards that lie wholly outside of the retention around now; in the others remove what is too old."""
@@ -184,13 +260,16 @@ class Catalog:
         if not m.retention_ms:
             return
         low, high = now_ms - m.retention_ms, now_ms + m.retention_ms
-        for a, b in m.shards():
-            if b <= low or a >= high:
-                self.files.delete(f"{self._dir(db, namespace, name)}/data/shard_from={a}")
+        gone = [a for a, b in m.shards() if b <= low or a >= high]
+        if gone:
+            c = (db, namespace, name)
+            self._save(c, (info := self._info(*c)) | {"rewrites": info.get("rewrites", 0) + 1})
+        for a in gone:
+            self.files.delete(f"{self._dir(db, namespace, name)}/data/shard_from={a}")
         edge = [a for a, b in m.shards_of() if a < low < b]
         if edge:
             old = m.rows().where(F.col("shard_from").isin(edge) & (F.col("timestamp") < low))
-            self._rewrite(m, old, lambda df: df.where(F.col("timestamp") >= low))
+            self._rewrite(m, self._shards_with(old), lambda df: df.where(F.col("timestamp") >= low))
 
     def drop(self, db: str, namespace: str, name: str) -> None:
         if self.views.pop((db, namespace, name), None) is None:
@@ -218,5 +297,20 @@ class Catalog:
     def locations(self, db: str, namespace: str, name: str) -> DataFrame:
         return self.spark.createDataFrame([(name, a, b) for a, b in self.metric(db, namespace, name).shards()], "metric string, shard_from bigint, shard_to bigint")
 
+    # -- settings and schemas as a file
+    def dump_metadata(self, path: str) -> int:
+        """Write the coordinates, settings and schemas of all stored metrics to one file; returns how many there are."""
+        all_ = [(d, n, m) for d in self.files.names(self.root) for n in self.files.names(f"{self.root}/{d}") for m in self.files.names(f"{self.root}/{d}/{n}") if self.files.exists(self._json(d, n, m))]
+        self.files.write(path, json.dumps([{"db": c[0], "namespace": c[1], "metric": c[2]} | self._info(*c) for c in all_], indent=1))
+        return len(all_)
+
+    def restore_metadata(self, path: str) -> int:
+        """Take over what ``dump_metadata`` wrote: coordinates, settings and schemas; records stay as they are. Entries replace those of equal
+        coordinates. Returns how many there are."""
+        entries = json.loads(self.files.read(path))
+        for e in entries:
+            self._save((e["db"], e["namespace"], e["metric"]), {k: v for k, v in e.items() if k not in ("db", "namespace", "metric")})
+        return len(entries)
+
     def count(self, db: str, namespace: str, name: str) -> int:
         return self.metric(db, namespace, name).rows().count()

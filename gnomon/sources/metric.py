@@ -26,7 +26,8 @@ class Metric:
     """``rows()`` gives timestamp BIGINT, value, and one typed column per dimension and tag.
 
     ``shards()`` gives the (from, to) of the storage shards; by default they are read off the
-    timestamps, one column of one aggregation, once per object.
+    timestamps, one column of one aggregation, once per object. ``stream()`` has all records, then those that come;
+    ``news()`` only those that come.
     """
 
     db: str
@@ -39,6 +40,9 @@ class Metric:
     partition: str | None = None  # physical column with the shard's start, where storage is partitioned by it
     shards_of: Callable[[], list[tuple[int, int]]] | None = None
     stream: Callable[[], DataFrame] | None = None
+    news: Callable[[], DataFrame] | None = None  # the stream of what comes after the call
+    current: Callable[[], Metric] | None = None  # the metric as it is at the call
+    rewrites: int = 0  # how often stored records were removed or written again
     _known: list[tuple[int, int]] | None = field(default=None, repr=False)
 
     def shards(self) -> list[tuple[int, int]]:
@@ -70,3 +74,16 @@ def from_frame(name: str, df: DataFrame, tags: list[str], dimensions: list[str]
     dims = dimensions or []
     keep = df.select("timestamp", "value", *tags, *dims)
     return Metric(db, namespace, name, fields_of(keep, tags, dims), lambda: keep, **more)
+
+
+def as_records(df: DataFrame, m: Metric) -> DataFrame:
+    """Results as records: timestamp, value, ``dimensions`` and ``tags``, each a struct; ``json`` the whole record without
+    absent fields. What is neither a dimension of the metric nor a bound, aggregates too, is a tag."""
+    dims = [c for c in df.columns if c in m.dimensions]
+    tags = [c for c in df.columns if c not in ("timestamp", "value", *dims)]
+
+    def group(names: list[str]):
+        return F.struct(*[F.col(f"`{n}`") for n in names]) if names else F.from_json(F.lit("{}"), T.StructType([]))
+
+    out = df.select("timestamp", "value", group(dims).alias("dimensions"), group(tags).alias("tags"))
+    return out.withColumn("json", F.to_json(F.struct("timestamp", "value", "dimensions", "tags")))

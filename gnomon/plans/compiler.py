@@ -46,17 +46,16 @@ def predicate(e: A.Expr, m: Metric, now_ms: int, negated: bool = False) -> Colum
 
 def scan(m: Metric, where: A.Expr | None, now_ms: int, since_ms: int | None = None) -> DataFrame:
     """The metric's rows that meet the condition, from the shards that can hold such rows."""
-    df = m.rows()
-    if m.partition is not None:
-        times = spans(where, now_ms)
-        if since_ms is not None:
-            times = [(max(lo, now_ms - since_ms), hi) for lo, hi in (times if times is not None else [(LOW, HIGH)])]
-        if times is not None:
-            p = F.col(m.partition)
-            within = F.lit(False)
-            for lo, hi in times:
-                within = within | ((p > lo - m.shard_ms if lo > LOW + m.shard_ms else F.lit(True)) & (p <= hi))
-            df = df.where(within)
+    times = spans(where, now_ms)
+    if since_ms is not None:
+        times = [(max(lo, now_ms - since_ms), hi) for lo, hi in (times if times is not None else [(LOW, HIGH)])]
+    df = m.rows() if times is None or m.within is None else m.within(times)
+    if m.partition is not None and times is not None:
+        p = F.col(m.partition)
+        within = F.lit(False)
+        for lo, hi in times:
+            within = within | ((p > lo - m.shard_ms if lo > LOW + m.shard_ms else F.lit(True)) & (p <= hi))
+        df = df.where(within)
     if since_ms is not None:
         df = df.where(F.col("timestamp") >= now_ms - since_ms)
     return df if where is None else df.where(predicate(where, m, now_ms))

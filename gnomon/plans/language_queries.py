@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..errors import StatementError
 from ..runtime import scratch_path, scratch_root
 from ..session import Engine
 from ..sources.adapters import TAGS, metric
@@ -69,7 +73,6 @@ for _name, _dsl, _sql in (
     ("where_eq_varchar", "event_type = click", "event_type = 'click'"),
     ("where_eq_quoted", "event_type = 'click'", "event_type = 'click'"),
     ("where_eq_bigint", "user_id = 7", "user_id = 7"),
-    ("where_eq_decimal", "value = 50.0", "value = 50.0"),
     ("where_gt", "value > 100", "value > 100"),
     ("where_gte", "user_id >= 7", "user_id >= 7"),
     ("where_lt", "value < 10.5", "value < 10.5"),
@@ -77,7 +80,8 @@ for _name, _dsl, _sql in (
     ("where_ne_extension", "event_type <> click", "event_type <> 'click'"),
     ("where_in_range", "user_id IN (3, 7)", "user_id BETWEEN 3 AND 7"),
     ("where_like", "event_type LIKE $i$", "event_type LIKE '%i%'"),
-    ("where_like_literal_signs", "event_type LIKE '%i%'", "event_type LIKE '\\%i\\%' ESCAPE '\\'"),
+    # as wildcards, these would leave click and view out
+    ("where_like_literal_signs", "NOT (event_type LIKE '%i%' OR event_type LIKE '_iew')", "NOT (contains(event_type, '%i%') OR event_type = '_iew')"),
     ("where_is_null", "maybe_type IS NULL", "maybe_type IS NULL"),
     ("where_is_not_null", "maybe_type IS NOT NULL", "maybe_type IS NOT NULL"),
     ("where_not", "NOT maybe_type = click", "NOT coalesce(maybe_type = 'click', false)"),
@@ -90,6 +94,7 @@ for _name, _dsl, _sql in (
 ):
     _add(_name, f"SELECT event_id FROM events WHERE {_dsl}", _where(_sql))
 
+_add("where_eq_decimal", "SELECT l_linenumber FROM lineitem WHERE l_discount = 0.05", f"SELECT timestamp, value, l_linenumber FROM ({_LINES}) WHERE l_discount = 0.05")
 _add("dynamic_filters", "SELECT event_id FROM events WHERE event_type = click OR event_type = view", _where("(event_type = 'click' OR event_type = 'view') AND user_id >= 5 AND value < 80 AND maybe_type IS NOT NULL AND event_type LIKE 'c%'"),
      filters=[{"dimension": "user_id", "operator": ">=", "value": 5}, {"dimension": "value", "operator": "<", "value": 80}, {"dimension": "maybe_type", "operator": "ISNOTNULL"}, {"dimension": "event_type", "operator": "LIKE", "value": "c$"}])
 _add("dynamic_time_range", "SELECT event_id FROM events WHERE event_type = click", _where(f"event_type = 'click' AND timestamp BETWEEN {NOW - 8 * DAY} AND {NOW - 2 * DAY}"), from_=NOW - 8 * DAY, to=NOW - 2 * DAY)
@@ -171,14 +176,17 @@ for _n in ("global_sum", "global_sum_where"):
 
 
 # -- statements that write, on a scratch store
-def _stored(spark: SparkSession, sf: str, **settings):
-    """The events as a stored metric of a fresh engine."""
+DIMENSIONS = ["event_id", "props", "maybe_type"]
+
+
+def _stored(spark: SparkSession, sf: str, parts: list[DataFrame] | None = None, **settings):
+    """The events as a stored metric of a fresh engine, appended at once or in ``parts``."""
     e = Engine(spark, scratch_path(spark, "store"))
     h = e.db("db").namespace("ns").metric("events")
     if settings:
         h.init(**settings)
-    df = metric(spark, sf, "events").rows()
-    h.append(df, TAGS["events"], ["event_id", "props", "maybe_type"], now_ms=NOW)
+    for df in parts or [metric(spark, sf, "events").rows()]:
+        h.append(df, TAGS["events"], DIMENSIONS, now_ms=NOW)
     return h
 
 
@@ -236,6 +244,127 @@ def show_locations(spark, sf):
     return _stored(spark, sf, shard_interval="7d").locations()
 
 
+def count_records(spark, sf):
+    h = _stored(spark, sf, shard_interval="7d")
+    return spark.createDataFrame([(h.count(), len(h.home.engine.catalog.metric("db", "ns", "events").shards()))], "records bigint, shards bigint")
+
+
+def compacted(spark, sf):
+    """Records appended in four parts, then compacted: as before, in at most one file a shard."""
+    h = _stored(spark, sf, _parts(spark, sf, 4), shard_interval="7d")
+    h.compact()
+    c = h.home.engine.catalog
+    most = c._files(f"{c._dir('db', 'ns', 'events')}/data").groupBy("shard_from").count().agg(F.max("count").alias("most_files"))
+    return h.query("SELECT event_id FROM events", now_ms=NOW).crossJoin(F.broadcast(most))  # one row
+
+
+def delete_namespace(spark, sf):
+    h = _stored(spark, sf)
+    other = h.home.engine.db("db").namespace("other")
+    other.execute("INSERT INTO m TAGS(a=b) VAL=1", now_ms=NOW)
+    h.home.delete()
+    return h.home.engine.db("db").namespaces()
+
+
+def show_databases(spark, sf):
+    e = _engine(spark, sf)
+    e.register(replace(metric(spark, sf, "orders"), db="archive"))
+    return e.databases()
+
+
+def use_namespace(spark, sf):
+    console = _engine(spark, sf).console("db")
+    console.run("USE ns")
+    return _plain(console.run("SELECT count(*) FROM orders", now_ms=NOW))
+
+
+def restored_metadata(spark, sf):
+    h = _stored(spark, sf, shard_interval="7d", retention="400d")
+    path = scratch_path(spark, "dump") + "/metadata.json"
+    h.home.engine.dump_metadata(path)
+    fresh = Engine(spark, scratch_path(spark, "store"))
+    fresh.restore_metadata(path)
+    return fresh.db("db").namespace("ns").execute("DESCRIBE events")
+
+
+def records(spark, sf):
+    return _engine(spark, sf, "orders").db("db").namespace("ns").records("SELECT o_orderkey, o_orderstatus FROM orders", now_ms=NOW).select("timestamp", F.col("dimensions.o_orderkey").alias("o_orderkey"), F.col("tags.o_orderstatus").alias("o_orderstatus"), "json")
+
+
+#: Statements that can't be run, and what is said of them (fixed values).
+REFUSED = {
+    "SELECT nothing FROM events": "field [nothing] does not exist",
+    "SELECT * FROM events WHERE nothing = 1": "field nothing does not exist",
+    "SELECT event_type FROM events GROUP BY event_type": "cannot execute a groupField by query without an aggregation",
+    "SELECT sum(value), count(value) FROM events GROUP BY event_type": "cannot execute a groupField by query with more than a aggregateField",
+    "SELECT DISTINCT event_type, user_id FROM events": "cannot execute a select distinct projecting more than one field",
+    "SELECT first(value) FROM events": "cannot execute a query with a non global aggregation without a groupBy field",
+    "SELECT DISTINCT event_type FROM events GROUP BY event_type": "cannot execute a query with a group by and a distinct clause",
+    "SELECT sum(value) FROM events GROUP BY event_id": "cannot execute a groupBy query grouping by a field that is not a tag",
+    "SELECT sum(user_id) FROM events": "Count And Count Distinct Aggregation can be applied to the value and to a tag. Other aggregations can be applied only on the value",
+    "SELECT count(*), count(value) FROM events": "Only one Count and one Count Distinct is allowed",
+    "SELECT sum(value) FROM events GROUP BY event_type ORDER BY user_id": "cannot sort group by query result by a field not in group by clause",
+    "SELECT * FROM events SINCE 2 d": "grace period clause is allowed only in temporal group by queries",
+    "SELECT * FROM events WHERE event_type > 5": "cannot use > operator on dimension different from numerical",
+    "SELECT * FROM events WHERE user_id LIKE a$": "cannot use like operator on dimension different from varchar",
+    "SELECT * FROM events WHERE event_type IN (1, 2)": "cannot use range operator on dimension different from numerical",
+    "SELECT first(value) FROM events GROUP BY INTERVAL 1 d": "FIRST has no meaning per interval",
+    "SELECT * FROM gone": "Metric gone does not exist",
+}
+
+
+def refused_statements(spark, sf):
+    """What validation says of every statement; null where it says nothing."""
+    ns = _engine(spark, sf).db("db").namespace("ns")
+    said = []
+    for sql in [*REFUSED, "SELECT count(*) FROM events GROUP BY INTERVAL 1 d SINCE 2 d"]:
+        try:
+            ns.validate(sql, NOW)
+            said.append((sql, None))
+        except StatementError as e:
+            said.append((sql, str(e)))
+    return spark.createDataFrame(said, "statement string, said string")
+
+
+# -- live subscriptions: the earlier events are stored, a query is subscribed to, then the later ones come
+_HALF = NOW - 7 * DAY
+
+
+def _parts(spark: SparkSession, sf: str, n: int) -> list[DataFrame]:
+    """The events in ``n`` appends, by time."""
+    rows, step = metric(spark, sf, "events").rows(), 30 * DAY // n
+    k = F.least(F.greatest(F.floor((F.col("timestamp") - (NOW - 24 * DAY)) / step), F.lit(0)), F.lit(n - 1))
+    return [rows.where(k == i) for i in range(n)]
+
+
+def _live(sql: str, *, first=None, then=(), **how):
+    """What a subscription publishes last of each: appended records, windows by their start, whole results."""
+
+    def query(spark, sf):
+        rows = metric(spark, sf, "events").rows()
+        h = _stored(spark, sf, [rows.where(first) if first is not None else rows.limit(0)])
+        place, ran = scratch_path(spark, "published"), []
+
+        def keep(frame, batch):
+            frame.write.parquet(f"{place}/batch={len(ran)}")
+            ran.append(frame.schema)
+
+        me, _ = h.home.subscribe(sql, keep, every_ms=50, **({"now_ms": NOW} | how))
+        live = next(iter(h.home.engine.publisher.running.values())).query
+        for part in then:
+            h.append(rows.where(part), TAGS["events"], DIMENSIONS, now_ms=NOW)
+            live.processAllAvailable()
+        h.home.unsubscribe(me)
+        all_ = spark.read.schema(T.StructType([*ran[-1].fields, T.StructField("batch", T.IntegerType())])).parquet(place)
+        if "window" in ran[-1].names:
+            latest = all_.groupBy("window").agg(F.max_by(F.struct(*ran[-1].names), "batch").alias("p"))
+            return _plain(latest.select("p.*").drop("window"))
+        whole = "count" in sql
+        return _plain((all_.where(F.col("batch") == len(ran) - 1) if whole else all_).select(*ran[-1].names))
+
+    return query
+
+
 # -- continuous queries over all present records
 def _stream(sql: str, origin_ms: int = 0):
     def query(spark, sf):
@@ -253,6 +382,14 @@ QUERIES |= {
     "stream_group": _stream("SELECT count(*) FROM events GROUP BY event_type"),
     "stream_global": _stream("SELECT count(*), max(value) FROM events WHERE event_type = view"),
     "stream_window": _stream("SELECT count(*) FROM events GROUP BY INTERVAL 1 d SINCE 40 d"),
+    "count_records": count_records, "compacted": compacted, "delete_namespace": delete_namespace, "show_databases": show_databases, "use_namespace": use_namespace,
+    "restored_metadata": restored_metadata, "records": records, "refused_statements": refused_statements,
+    "stream_new_only": _live("SELECT event_id FROM events WHERE event_type = click", first=f"timestamp < {_HALF}", then=[f"timestamp >= {_HALF}"]),
+    "stream_filtered": _live("SELECT * FROM events", first=f"timestamp < {_HALF}", then=[f"timestamp >= {_HALF}"], filters=[{"dimension": "event_type", "operator": "=", "value": "view"}], from_=NOW - 9 * DAY, to=NOW),
+    "stream_count_distinct": _live("SELECT count(DISTINCT value) FROM events GROUP BY event_type", first=f"timestamp < {_HALF}", then=[f"timestamp >= {_HALF}"]),
+    "stream_mixed": _live("SELECT count(*), max(value), event_type FROM events", first=f"timestamp < {_HALF}", then=[f"timestamp >= {_HALF}"]),
+    "stream_late": _live("SELECT count(*) FROM events GROUP BY INTERVAL 1 d SINCE 40 d", then=[f"timestamp >= {_HALF}", f"timestamp < {_HALF}"], now_ms=0),
+    "stream_too_late": _live("SELECT count(*) FROM events GROUP BY INTERVAL 1 d SINCE 1 h", then=[f"timestamp >= {_HALF} AND timestamp < {NOW}", f"timestamp >= {NOW}", f"timestamp < {_HALF}"], now_ms=0),
 }
 _EV = "SELECT timestamp, value, event_id FROM e"
 ORACLES |= {
@@ -274,3 +411,23 @@ UNION ALL SELECT {NOW}, 12.5, 'insert', 'Aurora', NULL UNION ALL SELECT {NOW + 1
     "stream_global": f"SELECT {_ZERO}, count(*) AS count_all, max(value) AS max_value FROM events WHERE event_type = 'view'",
     "stream_window": f"SELECT max({_E}) AS timestamp, count(*) AS value, min({_E}) AS lower_bound, max({_E}) AS upper_bound FROM events GROUP BY {_E} // {DAY}",
 }
+_FIELDS = ORACLES["describe_metric"]
+ORACLES |= {
+    "count_records": f"SELECT count(*) AS records, count(DISTINCT {_E} // {7 * DAY}) AS shards FROM events",
+    "compacted": f"WITH e AS ({_EVENTS}) SELECT timestamp, value, event_id, CAST(1 AS BIGINT) AS most_files FROM e",
+    "delete_namespace": "SELECT 'other' AS namespace",
+    "show_databases": "SELECT unnest(['archive', 'db']) AS db",
+    "use_namespace": f"SELECT CAST(0 AS BIGINT) AS timestamp, CAST(0 AS BIGINT) AS value, count(*) AS count_all FROM orders",
+    "restored_metadata": _FIELDS.replace(f"{_SHARD} AS BIGINT) AS shard_interval", f"{7 * DAY} AS BIGINT) AS shard_interval").replace("CAST(0 AS BIGINT) AS retention", f"CAST({400 * DAY} AS BIGINT) AS retention"),
+    "records": """SELECT timestamp, o_orderkey, o_orderstatus, '{"timestamp":' || timestamp || ',"value":' || value || ',"dimensions":{"o_orderkey":' || o_orderkey || '},"tags":{"o_orderstatus":"' || o_orderstatus || '"}}' AS json FROM ("""
+    + _ORDERS + ")",
+    "refused_statements": "SELECT * FROM (VALUES "
+    + ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in REFUSED.items())
+    + ", ('SELECT count(*) FROM events GROUP BY INTERVAL 1 d SINCE 2 d', NULL)) AS t(statement, said)",
+    "stream_new_only": f"SELECT * FROM ({_EVENTS}) WHERE event_type = 'click' AND timestamp >= {_HALF}",
+    "stream_filtered": f"SELECT * FROM ({_EVENTS}) WHERE event_type = 'view' AND timestamp >= {_HALF} AND timestamp <= {NOW}",
+    "stream_count_distinct": ORACLES["group_count_distinct"],
+    "stream_mixed": ORACLES["global_mixed_fields"],
+    "stream_late": ORACLES["stream_window"],
+    "stream_too_late": f"SELECT max({_E}) AS timestamp, count(*) AS value, min({_E}) AS lower_bound, max({_E}) AS upper_bound FROM events WHERE {_E} >= {_HALF} GROUP BY {_E} // {DAY}",
+}

@@ -9,6 +9,10 @@ from .files import Files
 from .metric import Metric, fields_of
 
 
+#: Times beyond these, in milliseconds, bound nothing: no stored time lies beyond them.
+EARLIEST, LATEST = -62_000_000_000_000, 250_000_000_000_000
+
+
 def _ms(c: str):
     return F.unix_millis(F.col(c).cast("timestamp"))
 
@@ -27,6 +31,7 @@ def shape(name: str, df: DataFrame) -> DataFrame:
 
 
 TAGS = {"events": ["event_type", "user_id", "maybe_tag"], "lineitem": ["l_returnflag", "l_linestatus", "l_suppkey"], "orders": ["o_orderstatus", "o_orderpriority"]}
+TIMES = {"events": "ts", "lineitem": "l_shipdate", "orders": "o_orderdate"}
 
 
 def metric(spark: SparkSession, sf_dir: str, name: str) -> Metric:
@@ -35,6 +40,17 @@ def metric(spark: SparkSession, sf_dir: str, name: str) -> Metric:
     df = shape(name, raw)
     dims = [c for c in df.columns if c not in ("timestamp", "value", *TAGS[name])]
 
+    def within(times: list[tuple[int, int]]) -> DataFrame:
+        """Rows that may lie in ``times``, by bounds on the stored column, which reach the scan; up to its precision too many."""
+        c, kind = F.col(TIMES[name]), raw.schema[TIMES[name]].dataType
+
+        def bound(ms: int):
+            return F.timestamp_millis(F.lit(ms).cast("bigint")).cast(kind)
+
+        meets = F.lit(False)
+        for lo, hi in times:
+            meets = meets | ((c >= bound(lo) if lo > EARLIEST else c.isNotNull()) & (c <= bound(hi + 1) if hi < LATEST else c.isNotNull()))
+        return shape(name, raw.where(meets))
 
     def stream() -> DataFrame:
         reader = spark.readStream.schema(raw.schema)
@@ -42,4 +58,4 @@ def metric(spark: SparkSession, sf_dir: str, name: str) -> Metric:
             return shape(name, reader.parquet(path))
         return shape(name, reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))  # streams read folders
 
-    return Metric("db", "ns", name, fields_of(df, TAGS[name], dims), lambda: df, stream=stream)
+    return Metric("db", "ns", name, fields_of(df, TAGS[name], dims), lambda: df, stream=stream, within=within)

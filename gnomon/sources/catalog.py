@@ -129,11 +129,11 @@ class Catalog:
         def current() -> Metric:
             return self.metric(db, namespace, name)
 
-        return Metric(db, namespace, name, fields, rows, interval, info["retention_ms"], "shard_from", starts, stream, news, current, info.get("rewrites", 0))
+        return Metric(db, namespace, name, fields, rows, interval, info["retention_ms"], "shard_from", starts, stream=stream, news=news, current=current, rewrites=info.get("rewrites", 0))
 
     def _files(self, data: str) -> DataFrame:
         """One row for each file of a metric: path, modificationTime, length; listed by executors, none is read."""
-        if not self.files.names(data):
+        if not any(n.startswith("shard_from=") for n in self.files.names(data)):
             return self.spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, shard_from bigint")
         found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(data)
         return found.select("path", "modificationTime", "length", F.col("shard_from").cast("bigint").alias("shard_from"))

@@ -39,6 +39,7 @@ class Metric:
     retention_ms: int = 0
     partition: str | None = None  # physical column with the shard's start, where storage is partitioned by it
     shards_of: Callable[[], list[tuple[int, int]]] | None = None
+    within: Callable[[list[tuple[int, int]]], DataFrame] | None = None  # rows() without, at least, shards or files outside of some spans of time
     stream: Callable[[], DataFrame] | None = None
     news: Callable[[], DataFrame] | None = None  # the stream of what comes after the call
     current: Callable[[], Metric] | None = None  # the metric as it is at the call

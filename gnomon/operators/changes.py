@@ -66,15 +66,21 @@ def _class(width: Column) -> Column:
     return F.when(width <= 1, F.lit(0)).otherwise(F.ceil(F.log2(width.cast("double"))).cast("int"))
 
 
-def current_bits(state: DataFrame, salts: int = 16) -> DataFrame:
+def _salts(state: DataFrame) -> int:
+    """As many as keep all cores busy with one scope's bits, within bounds."""
+    return max(4, min(64, state.sparkSession.sparkContext.defaultParallelism))
+
+
+def current_bits(state: DataFrame, salts: int | None = None) -> DataFrame:
     """The bits that exist in ``state``: live ones without a later removal of their shard range, metric or namespace.
 
     Removals are matched by equality joins. A shard range goes, by its width, to the one or two
-    power-of-two buckets of time that it meets; a bit asks at the levels its metric has. Scope rows are repeated
-    over ``salts`` and bits salted by id, so that a metric with most of the bits is spread over tasks;
-    where scopes are few, the planner broadcasts them by its own size threshold instead. The folded scopes are
+    power-of-two buckets of time that it meets; a bit asks at the levels its metric has. Scope rows, ranges too, are repeated
+    over ``salts`` (by default as many as the cluster has cores, 4 to 64) and bits salted by id, so that a metric or an
+    evicted range with most of the bits is spread over tasks; where scopes are few, the planner broadcasts them by its own size threshold instead. The folded scopes are
     written to the shared folder first, so the feed is read two times, not four, and their size is known.
     """
+    salts = _salts(state) if salts is None else salts
     seq = F.struct("ts", "entry_no")
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     scopes = write_scratch(state.where("kind <> 'bit'"), "scopes")  # read three times below, folded once
@@ -91,7 +97,7 @@ def current_bits(state: DataFrame, salts: int = 16) -> DataFrame:
     ranges = shards.select(
         "db", "namespace", "metric", "_level", "lo", "hi", seq.alias("_evict"),
         F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1))).alias("_bucket"),
-    )
+    ).select("*", salt)
     bits = state.where("kind = 'bit' and live").select("bit_id", "db", "namespace", "metric", "ts", "entry_no", "bit_timestamp", "bit_value", "bit_name", seq.alias("_seq"), F.pmod(F.hash("bit_id"), F.lit(salts)).alias("_salt"))
 
     def match(keys: list[str]) -> list[Column]:
@@ -103,7 +109,7 @@ def current_bits(state: DataFrame, salts: int = 16) -> DataFrame:
     kept = kept.where(gone.isNull() | (F.col("_seq") > gone))
     asked = kept.select("*", F.explode_outer("_levels").alias("_level")).withColumn("_bucket", bucket(F.col("bit_timestamp")))
     hit = (F.col("b.lo") <= F.col("a.bit_timestamp")) & (F.col("a.bit_timestamp") < F.col("b.hi")) & (F.col("b._evict") > F.col("a._seq"))
-    on = F.col("a._level").eqNullSafe(F.col("b._level")) & (F.col("a._bucket") == F.col("b._bucket")) & hit
+    on = F.col("a._level").eqNullSafe(F.col("b._level")) & (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a._salt") == F.col("b._salt")) & hit
     for c in match(["db", "namespace", "metric"]):
         on = on & c
     judged = asked.alias("a").join(ranges.alias("b"), on, "left").select("a.*", F.col("b._evict").isNotNull().alias("_evicted"))

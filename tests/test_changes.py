@@ -75,3 +75,21 @@ def test_odd_entries(spark):
     ]
     assert set(result(apply_changes(spark.createDataFrame(rows, SCHEMA)))) == {1, 2}
     assert apply_changes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_an_evicted_range_with_half_of_all_bits_is_spread(spark):
+    """Without broadcasts, the join on ranges moves the bits of one hot range to many tasks."""
+    hot = [(i, "d", "p", "m", 1, i, "PersistedEntryAction", i, 500, 1.0, None, None, None, i) for i in range(4000)]
+    rest = [(10_000 + i, "d", "p", f"m{i % 400}", 1, i, "PersistedEntryAction", 10_000 + i, i, 1.0, None, None, None, i) for i in range(4000)]
+    evict = [(90_000, "d", "p", "m", 2, 0, "EvictShardAction", None, None, None, None, 0, 1000, 0), (90_001, "d", "p", "m7", 2, 0, "EvictShardAction", None, None, None, None, 0, 1000, 0)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = current_bits(fold_changes(spark.createDataFrame(hot + rest + evict, SCHEMA)))
+        assert {r.bit_id for r in got.select("bit_id").collect()} == {r[7] for r in rest if not (r[3] == "m7" and r[8] < 1000)}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line and "_bucket" in line]
+        assert len(keys) >= 2 and all("_salt" in k for k in keys)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -8,24 +8,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import write_scratch
-from .common import drop_copies
+from .common import ARRIVAL
+
+
+def value_marks(df: DataFrame, keys: Sequence[str], value: str = "value", timestamp: str | None = None) -> DataFrame:
+    """One row for each bit with a value: keys, ``value``, two numbers that tell the bit from all others (``mark_1``, ``mark_2``:
+    a 128-bit hash of the whole row but its arrival), and with ``timestamp`` that of the bit (``mark_time``).
+
+    Marks are what files are combined by while a bit may come again in another file: ``merge_marks`` counts a copy once, in
+    whichever files it lies. Only these few columns move, folded before the exchange; the marks spread evenly, whatever
+    the key. Null and NaN values and rows with a null key are left out; -0.0 is 0.0.
+    """
+    rest = [c for c in df.columns if c.lower() not in {a.lower() for a in ARRIVAL}]
+    absent = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in rest])  # hashes pass over nulls
+    marks = [F.xxhash64(F.lit(seed), absent, *[F.col(f"`{c}`") for c in rest]).alias(f"mark_{seed}") for seed in (1, 2)]
+    v = F.col(value).cast("double")
+    good = F.col(value).isNotNull() & ~F.isnan(v)
+    for k in keys:
+        good = good & F.col(k).isNotNull()
+    time = [] if timestamp is None else [F.col(timestamp).cast("bigint").alias("mark_time")]
+    return df.where(good).select(*keys, (v + F.lit(0.0)).alias("value"), *marks, *time).distinct()
+
+
+def merge_marks(*marks: DataFrame) -> DataFrame:
+    """Marks of several inputs as one: each bit once."""
+    all_ = marks[0]
+    for m in marks[1:]:
+        all_ = all_.unionByName(m)
+    return all_.distinct()
+
+
+def marked_runs(marks: DataFrame) -> DataFrame:
+    """The runs of marked bits: keys, ``value``, ``n``."""
+    keys = [c for c in marks.columns if c not in ("value", "mark_1", "mark_2", "mark_time")]
+    return marks.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+
+
+def seal(marks: DataFrame, before: int) -> tuple[DataFrame, DataFrame]:
+    """The runs of bits from before ``before`` (milliseconds), which no file will bring again, and the marks of the others:
+    what has to be kept to combine further files with stays as small as the time in which copies come."""
+    return marked_runs(marks.where(F.col("mark_time") < before)), marks.where(F.col("mark_time") >= before)
 
 
 def value_runs(df: DataFrame, keys: Sequence[str], value: str = "value", copies: bool = False) -> DataFrame:
-    """The mergeable form of a group's values: (keys, ``value``, ``n``), how often each value occurs.
+    """A group's values as runs, how often each value occurs: (keys, ``value``, ``n``).
 
-    Runs of separate days, files or partitions combine with ``merge_runs`` without loss, so percentiles of
-    a month are those of its days' runs. Null and NaN values and rows with a null key are left out;
-    -0.0 is 0.0. Copies count once, unless ``copies``; two deliveries of a bit in separate files count
-    twice, as each file's runs no longer know the bit. A value that fills a third of all rows is folded
-    before the exchange.
+    Runs combine with ``merge_runs`` without loss, so percentiles of a month are those of its days' runs, where no
+    bit is delivered in two of them; where one may be, combine ``value_marks`` instead. Null and NaN values and
+    rows with a null key are left out; -0.0 is 0.0. Copies count once, unless ``copies``. A value that fills a third of all
+    rows is folded before the exchange.
     """
-    rows = df if copies else drop_copies(df)
+    if not copies:
+        return marked_runs(value_marks(df, keys, value))
     v = F.col(value).cast("double")
     good = F.col(value).isNotNull() & ~F.isnan(v)
     for k in keys:
         good = good & F.col(k).isNotNull()
-    return rows.where(good).select(*keys, (v + F.lit(0.0)).alias("value")).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    return df.where(good).select(*keys, (v + F.lit(0.0)).alias("value")).groupBy(*keys, "value").agg(F.count("*").alias("n"))
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:

@@ -77,6 +77,7 @@ FROM t""",
   CASE WHEN p = k THEN 'observed' WHEN near THEN 'interpolated' ELSE 'missing' END AS status
 FROM v""",
     "p5_percentiles_by_coordinates": _percentiles(_COORDINATES),
+    "p5_percentiles_of_weeks": _percentiles(_COORDINATES),
     "p5_percentiles_by_name": _percentiles("name"),
     "p5_percentiles_by_age": _percentiles("age"),
     "p5_percentiles_by_height": _percentiles("height"),

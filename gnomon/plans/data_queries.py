@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.changes import apply_changes
 from ..operators.grid import regular_grid
-from ..operators.percentiles import percentiles, value_runs
+from ..operators.percentiles import marked_runs, merge_marks, merge_runs, percentiles, seal, value_marks, value_runs
 from ..operators.rolling import rolling_totals
 from ..operators.skew import HEAVY, heavy_keys, per_key
 from ..operators.spikes import judge_readings
@@ -67,6 +67,17 @@ def _percentiles(*keys):
     return query
 
 
+def p5_percentiles_of_weeks(spark, sf):
+    """The bits by week of arrival, in four parts that share copies, each reduced to its marks before they are combined."""
+    bits = table(spark, sf, "metric_bits")
+    part = F.pmod(F.weekofyear("ingested_at"), F.lit(4))
+    marks = [value_marks(bits.where(part.eqNullSafe(F.lit(i))), COORDINATES, timestamp="timestamp") for i in (0, 1, 2, 3)]
+    last = bits.agg(F.max("timestamp")).first()[0]
+    sealed, still_open = seal(merge_marks(*marks), (last or 0) - 7 * 86_400_000)
+    got = percentiles(merge_runs(sealed, marked_runs(still_open)), QUANTILES)
+    return got.withColumns({c: F.round(c, 6) for c in got.columns if c[0] == "p" and c[1].isdigit()})
+
+
 def p6_found(spark, sf):
     return heavy_keys(table(spark, sf, "metric_bits"), COORDINATES, HEAVY).select(*COORDINATES)
 
@@ -81,6 +92,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_regular_grid": p3_regular_grid,
     "p4_found": p4_found, "p4_judged_readings": p4_judged_readings,
     "p5_percentiles_by_coordinates": _percentiles(*COORDINATES), "p5_percentiles_by_name": _percentiles("name"),
+    "p5_percentiles_of_weeks": p5_percentiles_of_weeks,
     "p5_percentiles_by_age": _percentiles("age"), "p5_percentiles_by_height": _percentiles("height"),
     "p6_found": p6_found, "p6_per_coordinates": p6_per_coordinates,
 }

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gnomon.operators.percentiles import merge_runs, percentiles, value_runs
+from gnomon.operators.percentiles import marked_runs, merge_marks, merge_runs, percentiles, seal, value_marks, value_runs
 from gnomon.operators.skew import heavy_keys, per_key
 
 SCHEMA = "row_id long, k string, j long, timestamp long, value double, name string, n int, _part int"
@@ -37,6 +37,24 @@ def test_runs_of_days_combine(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_copies_across_files_count_once(spark):
+    data = rows()
+    rng = random.Random(8)
+    files = [data[i::3] for i in range(3)]
+    files = [f + [(2 * 10**6 + i, *r[1:]) for i, r in enumerate(rng.sample(data, 400))] for f in files]  # copies of the others' rows
+    one = sorted(map(tuple, percentiles(value_runs(spark.createDataFrame(data, SCHEMA), ["k"])).collect()))
+    marks = [value_marks(spark.createDataFrame(f, SCHEMA), ["k"], timestamp="timestamp") for f in files]
+    assert sorted(map(tuple, percentiles(marked_runs(merge_marks(*marks))).collect())) == one
+    runs, still_open = seal(merge_marks(*marks[:2], marks[2]), 500_000)  # nothing before that comes again
+    late = value_marks(spark.createDataFrame([r for r in data if r[3] >= 500_000][:300], SCHEMA), ["k"], timestamp="timestamp")
+    assert sorted(map(tuple, percentiles(merge_runs(runs, marked_runs(merge_marks(still_open, late)))).collect())) == one
+
+
+def test_marks_tell_nulls_apart(spark):
+    df = spark.createDataFrame([(1, "a", "x", None), (2, "a", None, "x"), (3, "a", "", "x"), (4, "a", "x", ""), (5, "a", "x", None)], "row_id long, k string, p string, q string").selectExpr("*", "1.5D AS value")
+    assert value_runs(df, ["k"]).first()["n"] == 4
+
+
 def test_one_value_everywhere(spark):
     df = spark.createDataFrame([(i, "k", 1, i, 5.0, "x", 1, 1) for i in range(1000)], SCHEMA)
     r = percentiles(value_runs(df, ["k"])).first()

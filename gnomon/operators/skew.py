@@ -11,6 +11,8 @@ from .common import ARRIVAL
 
 #: A key with this share of all rows is treated apart.
 HEAVY = 0.05
+#: The least share that a key can be told apart by: the sketch takes up to a million counters.
+LEAST = 1 / 60_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY) -> DataFrame:
@@ -19,9 +21,10 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY) -> Data
     A frequent-items sketch, merged over all partitions, names every key that can have the share: with
     m counters it underestimates a key by at most 3.5 / m of the rows, and m is set so that this is
     under half the share. The named keys, at most 2 / share of them whatever the input, are then
-    counted exactly over all rows. Null keys are keys like others. Empty input has no heavy keys.
+    counted exactly over all rows. Shares under 1 / 60,000 count as that. Null keys are keys like others. Empty input has no heavy keys.
     """
     keys = list(keys)
+    share = max(share, LEAST)
     most = max(1, int(2 / share))
     counters = 1 << max(6, int(8 / share).bit_length())
     as_text = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})

@@ -41,6 +41,7 @@ TOGETHER = 60_000
 CAPITAL = -1.5
 
 _LOST = 0xFFFD
+_A_GRAVE = "à".encode()
 _SMALL = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x10000)], np.int32)
 #: Closed fences (from line start to line start, or within a line), and closed pairs that don't open within a word.
 _QUOTED = re.compile(r"^[ \t>]*```.*?^[ \t>]*```|```[^`\n]+```|(?<![0-9A-Za-z\u00c0-\u024f`])`[^`\n]+`", re.DOTALL | re.MULTILINE)
@@ -81,6 +82,34 @@ def script(cp: np.ndarray) -> np.ndarray:
     return out
 
 
+def surroundings(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of characters between ASCII ones that a single-byte encoding may have, and numbers for each of them with the two
+    characters before and after it, as far as its word goes: what a misreading of single bytes leaves as it is."""
+    ctx = np.concatenate([[32, 32], context(cp), [32, 32]]).astype(np.int64)
+    at = np.flatnonzero((cp >= 128) & (cp < 0x2E80))
+    b1, a1 = ctx[at + 1], ctx[at + 3]
+    b2, a2 = np.where(b1 > 64, ctx[at], 32), np.where(a1 > 64, ctx[at + 4], 32)
+    fine = (b1 < 128) & (a1 < 128) & (b2 < 128) & (a2 < 128)
+    at, b1, a1, b2, a2 = (x[fine] for x in (at, b1, a1, b2, a2))
+    return at, 1 << 44 | b2 << 37 | b1 << 30 | a1 << 23 | a2 << 16 | cp[at].astype(np.int64)
+
+
+def misreadings(keys: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What known surroundings look like misread, by every single-byte pair, where that is unknown: sorted numbers, pairs,
+    and how much likelier the pair is there than an unknown character, as a log probability."""
+    out = []
+    c, rest = (keys & 0xFFFF).astype(np.int64), keys & ~np.int64(0xFFFF)
+    for i, (e, d) in enumerate(PAIRS):
+        if e in SINGLE and d in SINGLE:
+            b = ENCODE[e][c]
+            new = rest | DECODE[d][np.maximum(b, 0)]
+            ok = np.flatnonzero((b >= 0) & (new != keys) & ~np.isin(new, keys))
+            out.append((new[ok], np.full(len(ok), i), np.log(share[ok]) - UNKNOWN))
+    new, pair, bonus = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(new, kind="stable")
+    return new[order], pair[order], bonus[order]
+
+
 #: Keys from here on are (class of the context, character), and with character 0 the class itself; with class ANY, the character.
 _CLASSES, _ANY = 1 << 20, 6
 
@@ -92,6 +121,17 @@ class Characters:
     n: int
     keys: np.ndarray  # sorted (context, character)
     count: np.ndarray  # documents with it
+    misread: tuple[np.ndarray, np.ndarray, np.ndarray] = ()  # of the known surroundings
+
+    def told(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose surroundings are those of a misreading, its pair, and what speaks for it."""
+        if not len(self.misread) or not len(self.misread[0]):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at, keys = surroundings(cp)
+        lo, hi = np.searchsorted(self.misread[0], keys, "left"), np.searchsorted(self.misread[0], keys, "right")
+        n = hi - lo
+        which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
+        return np.repeat(at, n), self.misread[1][which], self.misread[2][which]
 
     def _docs(self, before: np.ndarray, cp: np.ndarray) -> np.ndarray:
         k = _keys(before, cp)
@@ -160,9 +200,9 @@ def _batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def character_statistics(docs: DataFrame, text: str = "text") -> Characters:
-    """Count, over all documents, in how many each pair (character before, non-ASCII character) and each such character
-    occurs. Counted by partition, summed by Spark; only pairs in more than ``RARE`` of the documents are
-    kept, at most (mean distinct pairs of a document) / RARE, whatever the number of documents."""
+    """Count, over all documents, in how many each pair (character before, non-ASCII character), each such character, and each
+    with its surroundings occurs. Counted by partition, summed by Spark; only those in more than ``RARE`` of the documents are
+    kept, at most (mean distinct ones of a document) / RARE, whatever the number of documents."""
 
     ship(docs.sparkSession)
 
@@ -181,6 +221,10 @@ def character_statistics(docs: DataFrame, text: str = "text") -> Characters:
             keys = np.concatenate([_keys(before, own), _keys(kind, own), _keys(kind, np.zeros_like(own)), _keys(np.full(len(at), _CLASSES + _ANY), own)])
             once = np.unique(np.tile(doc[at].astype(np.int64), 4) << 42 | keys) & (1 << 42) - 1
             k, n = np.unique(once, return_counts=True)
+            place, around = surroundings(cp)
+            clean = ~bad[doc[place]]
+            ka, na = np.unique(np.unique(doc[place[clean]].astype(np.int64) << 46 | around[clean]) & (1 << 46) - 1, return_counts=True)
+            k, n = np.concatenate([k, ka]), np.concatenate([n, na])
             yield pd.DataFrame({"k": np.concatenate([[-1], k]), "n": np.concatenate([[int((~bad).sum())], n]).astype(np.int64)})
 
     counted = over_cores(docs.select(F.col(text).alias("t"))).mapInPandas(count, "k bigint, n bigint")
@@ -190,7 +234,9 @@ def character_statistics(docs: DataFrame, text: str = "text") -> Characters:
     kept = sums.where((F.col("k") >= 0) & (F.col("n") > RARE * n)).toPandas()
     k, c = kept["k"].to_numpy(np.int64), kept["n"].to_numpy(float)
     order = np.argsort(k)
-    return Characters(n, k[order], c[order] - RARE * n)
+    k, c = k[order], c[order]
+    pairs = k < 1 << 44
+    return Characters(n, k[pairs], c[pairs] - RARE * n, misreadings(k[~pairs], c[~pairs] / max(1, n)))
 
 
 def _double_units(cp: np.ndarray, b: np.ndarray, codec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -279,6 +325,11 @@ def _wide_gains(units: list[tuple[int, int, str]], cp: np.ndarray, ctx: np.ndarr
     return score - clean, door
 
 
+def _with_spaces(cp: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A plain space after the first byte of 'à' is its second one, a no-break space that something has made plain."""
+    return np.where((np.concatenate([[-1], b[:-1]]) == _A_GRAVE[0]) & (cp == 32), _A_GRAVE[1], b)
+
+
 def _unit_gains(units: tuple[np.ndarray, np.ndarray], cp: np.ndarray, ctx: np.ndarray, clean: np.ndarray, model: Characters) -> tuple[np.ndarray, np.ndarray]:
     """By place, how much likelier a state with these units is than the clean one, and whether the state may be
     entered there. A unit is entered at its first place, which has the log probability of what it says; its other
@@ -346,7 +397,10 @@ def _labels_together(texts: list[str], model: Characters) -> list[tuple[np.ndarr
     clean = np.zeros(len(cp))
     clean[at] = model.log(before[at], cp[at])
     odd = np.zeros(len(cp), bool)
-    odd[at] = ((clean[at] < DOUBTFUL) | (cp[at] == _LOST)) & ~quoted[at]
+    odd[at] = (clean[at] < DOUBTFUL) | (cp[at] == _LOST)
+    told, told_pair, told_gain = model.told(cp)
+    odd[told] = True
+    odd &= ~quoted
     asked = np.zeros(len(texts), bool)  # a state must explain something that the clean one can't
     asked[doc[odd]] = True
     # from here on only non-ASCII characters and the ones next to them
@@ -358,7 +412,10 @@ def _labels_together(texts: list[str], model: Characters) -> list[tuple[np.ndarr
     rare[first[1:] - 1] = True  # and the line breaks between texts
     place = np.flatnonzero(rare)
     line = np.cumsum(cp == 10)[place]
+    doc_all = doc
     cp, ctx, doc, quoted, clean, odd = cp[place], ctx[place], doc[place], quoted[place], clean[place], odd[place]
+    seen = asked[doc_all[told]]
+    told, told_pair, told_gain = np.searchsorted(place, told[seen]), told_pair[seen], told_gain[seen]
     at = np.flatnonzero(cp >= 128)
     of, free, low = doc[at], ~quoted[at], np.where(cp < 0x10000, cp, 0)
     offered: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in texts]
@@ -391,7 +448,7 @@ def _labels_together(texts: list[str], model: Characters) -> list[tuple[np.ndarr
         if not to.any():
             continue
         if e == "utf-8":
-            offer(i, *_unit_gains(utf8_units(b), cp, ctx, clean, model), to)
+            offer(i, *_unit_gains(utf8_units(_with_spaces(cp, b)), cp, ctx, clean, model), to)
         elif e == TWICE:
             offer(i, *_unit_gains(_twice_units(cp, d), cp, ctx, clean, model), to)
         elif e in DOUBLE:
@@ -405,6 +462,7 @@ def _labels_together(texts: list[str], model: Characters) -> list[tuple[np.ndarr
                 gain = np.full(len(cp), IMPOSSIBLE)
                 can = at[(b[at] >= 0) & to[of]]
                 gain[can] = model.log(prev[can], says[can]) + _foreign(says[can], can + 1, ctx) - clean[can]
+                gain[told[told_pair == i]] += told_gain[told_pair == i]
                 offer(i, gain, None, to)
     offer(len(PAIRS), np.where(cp == _LOST, -UNKNOWN, IMPOSSIBLE), None, asked)
     for d, states in enumerate(offered):
@@ -498,13 +556,17 @@ def _turn_back(text: str, label: np.ndarray, quoted: np.ndarray) -> str:
             continue
         j = i
         e, d = PAIRS[s]
-        while j < n and (label[j] == s and not quoted[j] or (e in DOUBLE and 0x40 <= ord(text[j]) < 0x7F and label[j - 1] == s)):
+        while j < n and (label[j] == s and not quoted[j] or (j > i and label[j - 1] == s and (e in DOUBLE and 0x40 <= ord(text[j]) < 0x7F or e == "utf-8" and d in SINGLE and text[j] == " " and _byte(text[j - 1], d) == _A_GRAVE[0]))):
             j += 1
         out.append(_inverse(text[i:j], e, d))
         i = j
     return "".join(out)
 
 
+def _byte(c: str, d: str) -> int:
+    return int(ENCODE[d][ord(c)]) if ord(c) < 0x10000 else -1
+
+
 def _inverse(run: str, e: str, d: str) -> str:
     """A run read as ``d`` in its true encoding ``e``; as it is, where its bytes say nothing there."""
     try:
@@ -519,20 +581,23 @@ def _inverse(run: str, e: str, d: str) -> str:
         raw = bytes(int(ENCODE[d][c]) if (c := ord(x)) >= 128 else c for x in run)
         if e in SINGLE:
             return "".join(chr(DECODE[e][b]) for b in raw)
+        if e == "utf-8":
+            raw = raw.replace(_A_GRAVE[:1] + b" ", _A_GRAVE)
         return raw.decode(DOUBLE.get(e, e))
     except (UnicodeDecodeError, UnicodeEncodeError, ValueError, IndexError):
         return run
 
 
 def doubtful(texts: list[str | None], model: Characters) -> np.ndarray:
-    """The numbers of the texts that hold a lost or an unlikely character: only these can hold a garbled one."""
+    """The numbers of the texts that hold a lost or an unlikely character, or one in the surroundings of a misread one: only
+    these are asked further."""
     cp, doc = _batch(texts)
     at = np.flatnonzero(cp >= 128)
     if not len(at):
         return at
     before = np.concatenate([[32], context(cp)[:-1]])[at]
     odd = (model.log(before, cp[at]) < DOUBTFUL) | (cp[at] == _LOST)
-    return np.unique(doc[at[odd]])
+    return np.unique(doc[np.concatenate([at[odd], model.told(cp)[0]])])
 
 
 def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Characters | None = None) -> DataFrame:

@@ -69,6 +69,21 @@ def test_partly_and_twice(model):
     assert "Ã¼" in mixed[s:e] and kind == ["utf-8", "latin"]
 
 
+def test_a_space_that_was_a_no_break_space(model):
+    text = "Où est-elle déjà passée ? Va à côté, à la forêt où il a gelé."
+    garbled = misread(text, "utf-8", "latin").replace("\xa0", " ")
+    assert restore(garbled, model)[0] == text
+
+
+def test_single_misread_letters_by_their_surroundings(model):
+    """One apostrophe read as a letter that is common elsewhere; the same letter in its own words stays."""
+    for text in ("It’s naïve to pay", "Why? It’s so"):
+        garbled = misread(text, "latin", "mac-roman").replace("Ô", "ï")
+        back, found = restore(garbled, model)
+        assert found and back.startswith(text[: text.index("’") + 2])
+    assert restore(CLEAN["es"] + " aquí está así", model)[1] == []
+
+
 def test_frame(spark, model):
     lost = "Désol� et d�jà"
     rows = [(1, CLEAN["fr"], 5), (2, misread(CLEAN["fr"], "utf-8", "latin"), 5), (2, misread(CLEAN["es"], "utf-8", "cp437"), 5), (3, None, 5), (4, "", 5), (5, lost, 5), (None, misread("déjà", "utf-8", "latin"), 5), (6, "long " * 100_000 + misread(" déjà vu", "utf-8", "latin"), 5)]

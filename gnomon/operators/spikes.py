@@ -356,7 +356,7 @@ def _in_chunks(r: DataFrame, src: list[str], rows_per_chunk: int) -> tuple[DataF
     chunk = F.greatest(F.col("_start"), F.array_max(F.filter("_cuts", lambda c: c <= F.col("_t"))))
     readings = [*src, "_t", "_v", "_bad"]
     calm = placed.where("_start is null").select(*readings, F.lit(WHOLE).alias("_chunk"))
-    cut = placed.where("_start is not null").select(*readings, chunk.alias("_chunk")).distinct()
+    cut = write_scratch(placed.where("_start is not null").select(*readings, chunk.alias("_chunk")).distinct(), "cut")  # used three times
     ends = _in_order(cut.repartition(*src, "_chunk"), [*src, "_chunk"], "_t", "_v")
     ends = ends.mapInArrow(_ends([*src, "_chunk"]), f"{_types(cut, [*src, '_chunk'])}, _side int, _pos int, {_types(cut, _END[:3])}, _gap boolean, _full boolean")
     ends = write_scratch(ends, "ends")

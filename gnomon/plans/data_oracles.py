@@ -1,7 +1,7 @@
 """DuckDB SQL for the data-processing queries, over whole tables.
 
-p4 has none: its fences come from sketches and its baselines from sorted neighbourhoods; the tests hold it
-against a brute-force version.
+p4_found's fences are from exact quantiles here and from sketches there, with other random numbers to spread coarse readings: the
+same readings lie outside as long as none is within a few percent of its fence. p4_levels has what doesn't depend on that.
 """
 
 from __future__ import annotations
@@ -50,6 +50,59 @@ g AS (SELECT *, unnest(range(coalesce(nk + 1, k), k + 1)) AS p FROM nxt),
 v AS (SELECT *, u - p * w AS ub, (nf.t - l.t) <= 5 * w AS near FROM g)
 """
 
+_P4 = """
+WITH r AS (
+  SELECT db, namespace, metric, name, timestamp AS t, value AS v, coalesce(value < value_low, false) OR coalesce(value > value_high, false) AS bad
+  FROM (SELECT DISTINCT db, namespace, metric, name, timestamp, value FROM double_metric WHERE value IS NOT NULL AND timestamp IS NOT NULL AND name IS NOT NULL)
+  LEFT JOIN metric_info USING (db, namespace, metric)
+),
+c AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY db, namespace, metric, name ORDER BY t, v)),
+d AS (SELECT *, sum(fresh) OVER (PARTITION BY db, namespace, metric, name ORDER BY t, v ROWS UNBOUNDED PRECEDING) AS run FROM c),
+e AS (SELECT *, count(*) OVER (PARTITION BY db, namespace, metric, name, run) AS len FROM d),
+runs AS (SELECT db, namespace, metric, name, v, count(*) AS n, min(t) // 3600000 AS h FROM e WHERE NOT bad AND len > 5 GROUP BY db, namespace, metric, name, run, v),
+longest AS (SELECT db, namespace, metric, name, max(struct_pack(n := n, v := v)) AS x FROM runs GROUP BY db, namespace, metric, name, h),
+tops AS (SELECT db, namespace, metric, name, max(n) AS top FROM (SELECT db, namespace, metric, name, x.v AS v, sum(x.n) AS n FROM longest GROUP BY ALL) GROUP BY ALL),
+s AS (
+  SELECT db, namespace, metric, name, count(*) FILTER (NOT bad) AS n, count(*) FILTER (NOT bad AND len > 5) AS held, coalesce(max(len) FILTER (len < 12), 0) > 5 AS other,
+    list(v ORDER BY t, v) FILTER (NOT bad AND len < 12) AS usable
+  FROM e GROUP BY ALL
+),
+q AS (
+  SELECT e.*, other, usable, held - coalesce(top, 0) > 0.5 * (n - coalesce(top, 0)) OR coalesce(top, 0) >= n AS levels,
+    CASE WHEN NOT bad AND len < 12 THEN row_number() OVER (PARTITION BY db, namespace, metric, name, NOT bad AND len < 12 ORDER BY t, v) END AS i
+  FROM e JOIN s USING (db, namespace, metric, name) LEFT JOIN tops USING (db, namespace, metric, name)
+),
+w AS (SELECT *, list_sort(usable[greatest(least(i - 9, len(usable) - 17), 0) + 1 : greatest(least(i - 9, len(usable) - 17), 0) + 17]) AS near FROM q)
+"""
+
+_P4_SPIKES = """,
+x AS (
+  SELECT db, namespace, metric, name, t, v, i, levels, t // 3600000 AS h, v - base AS res,
+    v - base + coalesce(list_min(list_filter(list_transform(range(1, len(near)), lambda j: near[j + 1] - near[j]), lambda y: y > 0)), 0) * (hash(t, v) / 18446744073709551616.0 - 0.5) AS spread
+  FROM (SELECT *, CASE WHEN len(near) >= 5 THEN (near[len(near) // 2 + 1] + near[(len(near) - 1) // 2 + 1]) / 2 END AS base FROM w WHERE i IS NOT NULL)
+),
+whole AS (
+  SELECT db, namespace, metric, name, CASE WHEN count(spread) >= 5 THEN greatest(quantile_disc(spread, 0.75) - quantile_disc(spread, 0.25), (quantile_disc(spread, 0.95) - quantile_disc(spread, 0.05)) / 3.3) END AS scatter
+  FROM x GROUP BY ALL
+),
+around AS (SELECT db, namespace, metric, name, h + unnest([-1, 0, 1]) AS h, spread FROM x WHERE spread IS NOT NULL),
+local AS (SELECT db, namespace, metric, name, h, quantile_disc(spread, 0.75) - quantile_disc(spread, 0.25) AS iqr FROM around GROUP BY db, namespace, metric, name, h HAVING count(*) >= 48),
+f AS (
+  SELECT x.*, 7.3 * CASE WHEN iqr IS NOT NULL THEN greatest(iqr, scatter / 2) ELSE scatter END AS fence
+  FROM x JOIN whole USING (db, namespace, metric, name) LEFT JOIN local USING (db, namespace, metric, name, h)
+),
+o AS (SELECT *, coalesce(abs(res) > fence, false) AS far, coalesce(abs(res) <= 0.7 * fence, false) AS calm FROM f),
+u AS (SELECT *, lag(far) OVER (PARTITION BY db, namespace, metric, name ORDER BY i) AS before FROM o),
+k AS (SELECT *, sum(CASE WHEN far = before THEN 0 ELSE 1 END) OVER (PARTITION BY db, namespace, metric, name ORDER BY i ROWS UNBOUNDED PRECEDING) AS stretch FROM u),
+g AS (SELECT db, namespace, metric, name, stretch, min(i) - 1 AS a, max(i) + 1 AS b FROM k WHERE far AND NOT levels GROUP BY db, namespace, metric, name, stretch HAVING count(*) <= 3),
+spikes AS (
+  SELECT k.name, k.t FROM g JOIN k USING (db, namespace, metric, name, stretch)
+  JOIN o l ON l.db = g.db AND l.namespace = g.namespace AND l.metric = g.metric AND l.name = g.name AND l.i = g.a AND l.calm
+  JOIN o r ON r.db = g.db AND r.namespace = g.namespace AND r.metric = g.metric AND r.name = g.name AND r.i = g.b AND r.calm
+)
+SELECT name, t AS timestamp FROM w WHERE bad OR (len >= 12 AND NOT levels AND NOT other) UNION SELECT name, t FROM spikes
+"""
+
 _COORDINATES = "db, namespace, metric"
 
 
@@ -76,6 +129,9 @@ FROM t""",
   round(CASE WHEN l.t = ub THEN l.v WHEN near THEN l.v + (nf.v - l.v) * (CAST(ub - l.t AS DOUBLE) / CAST(nf.t - l.t AS DOUBLE)) WHEN p = k THEN l.v END, 6) AS value,
   CASE WHEN p = k THEN 'observed' WHEN near THEN 'interpolated' ELSE 'missing' END AS status
 FROM v""",
+    "p4_found": _P4.rstrip() + _P4_SPIKES,
+    "p4_levels": _P4 + """SELECT db, namespace, metric, name, t AS timestamp, v AS value, bad AS impossible, len >= 12 AND NOT levels AND NOT other AS stuck,
+  round(CASE WHEN i IS NOT NULL AND len(near) >= 5 THEN (near[len(near) // 2 + 1] + near[(len(near) - 1) // 2 + 1]) / 2 END, 6) AS baseline FROM w""",
     "p5_percentiles_by_coordinates": _percentiles(_COORDINATES),
     "p5_percentiles_of_weeks": _percentiles(_COORDINATES),
     "p5_percentiles_by_name": _percentiles("name"),

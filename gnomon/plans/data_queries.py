@@ -59,6 +59,10 @@ def p4_judged_readings(spark, sf):
     return _judged(spark, sf)
 
 
+def p4_levels(spark, sf):
+    return _judged(spark, sf).select(*COORDINATES, "name", "timestamp", "value", "impossible", "stuck", F.round("baseline", 6).alias("baseline"))
+
+
 def _percentiles(*keys):
     def query(spark, sf):
         got = percentiles(value_runs(table(spark, sf, "metric_bits"), keys), QUANTILES)
@@ -90,7 +94,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_rolling_totals": p1_rolling_totals,
     "p2_found": p2_found, "p2_current_bits": p2_current_bits,
     "p3_found": p3_found, "p3_regular_grid": p3_regular_grid,
-    "p4_found": p4_found, "p4_judged_readings": p4_judged_readings,
+    "p4_found": p4_found, "p4_judged_readings": p4_judged_readings, "p4_levels": p4_levels,
     "p5_percentiles_by_coordinates": _percentiles(*COORDINATES), "p5_percentiles_by_name": _percentiles("name"),
     "p5_percentiles_of_weeks": p5_percentiles_of_weeks,
     "p5_percentiles_by_age": _percentiles("age"), "p5_percentiles_by_height": _percentiles("height"),

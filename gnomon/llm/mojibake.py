@@ -500,14 +500,18 @@ def _path(states: list[int], g: np.ndarray, doors: np.ndarray, at: np.ndarray, l
 
 def _spread(path: np.ndarray, at: np.ndarray, g: np.ndarray, states: list[int], line: np.ndarray) -> None:
     """Let a span take in the clean characters next to it, within REACH places, that its state explains about as well
-    as the clean state: a span's first and last letters may by themselves look like either."""
+    as the clean state: a span's first and last letters may by themselves look like either. Beyond ASCII characters, a run of others is taken
+    only if the state explains all of it that well."""
     column = {s: k for k, s in enumerate(states)}
+    run = np.cumsum(np.diff(at, prepend=-1) != 1) - 1
+    of_run = np.add.reduceat(g, np.flatnonzero(np.diff(run, prepend=-1)), axis=0)
     for order in (range(1, len(path)), range(len(path) - 2, -1, -1)):
         step = order.step
         for t in order:
             s = path[t - step]
             if path[t] < 0 and s >= 0 and abs(int(at[t]) - int(at[t - step])) <= REACH and line[t] == line[t - step] and g[t, column[s]] > SIMILAR:
-                path[t] = s
+                if run[t] == run[t - step] or of_run[run[t], column[s]] > SIMILAR:
+                    path[t] = s
 
 
 Span = tuple[int, int, str, str]

@@ -24,22 +24,29 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY) -> Data
     counted exactly over all rows. Shares under 1 / 60,000 count as that. Null keys are keys like others. Empty input has no heavy keys.
     """
     keys = list(keys)
+    named = _named(df, keys, share)
+    counted = df.select(*keys, _as_text(keys).alias("_key")).join(F.broadcast(named), "_key").groupBy("_key", *keys).agg(F.count("*").alias("n"), F.first("_total").alias("total"))
+    return counted.where(F.col("n") >= F.lit(max(share, LEAST)) * F.col("total")).select(*keys, "n", "total")
+
+
+def _as_text(keys: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+
+
+def _named(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
+    """All keys that can have the share, by the sketch, and perhaps some with at least half of it: ``_key`` as text, ``_total`` of all rows."""
     share = max(share, LEAST)
     most = max(1, int(2 / share))
     counters = 1 << max(6, int(8 / share).bit_length())
-    as_text = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
-    sketch = df.select(as_text.alias("_key")).agg(F.expr(f"approx_top_k(_key, {most}, {counters})").alias("_top"), F.count("*").alias("_total"))
-    named = sketch.select("_total", F.explode("_top").alias("_x")).where(F.col("_x.count") >= F.lit(share / 2) * F.col("_total")).select(F.col("_x.item").alias("_key"), "_total")
-    tagged = df.select(*keys, as_text.alias("_key"))
-    counted = tagged.join(F.broadcast(named), "_key").groupBy("_key", *keys).agg(F.count("*").alias("n"), F.first("_total").alias("total"))
-    return counted.where(F.col("n") >= F.lit(share) * F.col("total")).select(*keys, "n", "total")
+    sketch = df.select(_as_text(keys).alias("_key")).agg(F.expr(f"approx_top_k(_key, {most}, {counters})").alias("_top"), F.count("*").alias("_total"))
+    return sketch.select("_total", F.explode("_top").alias("_x")).where(F.col("_x.count") >= F.lit(share / 2) * F.col("_total")).select(F.col("_x.item").alias("_key"), "_total")
 
 
 def per_key(df: DataFrame, keys: Sequence[str], name: str = "name", timestamp: str = "timestamp", value: str = "value", share: float = HEAVY, apart: float | None = None) -> DataFrame:
     """Rows, totals, distinct names and the last bit of every key, without heavy keys holding up the rest.
 
-    Keys with at least ``apart`` of all rows (default: what half a shuffle partition would hold on average, at most
-    ``share``) come from ``heavy_keys``, a set bounded by 1 / apart, and are told apart by a broadcast join.
+    Keys that by the sketch may have ``apart`` of all rows (default: what half a shuffle partition would hold on average, at most
+    ``share``), a set bounded by 2 / apart, are told apart by a broadcast join.
 
     - Their rows never meet by key: copies fold on an exchange of all columns, then (key, name) parts, folded
       before each exchange, then those parts. Each step is spread evenly, whatever the key's size.
@@ -57,13 +64,14 @@ def per_key(df: DataFrame, keys: Sequence[str], name: str = "name", timestamp: s
     rest = [c for c in df.columns if c.lower() not in skip]
     flat = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(rest)])
     at = {c: f"_c{i}" for i, c in enumerate(rest)}
-    heavy = heavy_keys(flat, k, apart).select(*k, (F.col("n") >= F.lit(share) * F.col("total")).alias("_heavy"))
+    texts = F.from_json("_key", ", ".join(f"k{i} string" for i in range(len(k))))
+    heavy = _named(flat, k, apart).withColumn("_x", texts).select(*[F.col(f"_x.k{i}").cast(flat.schema[c].dataType).alias(c) for i, c in enumerate(k)], F.col("_total").alias("_all"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in k]
-    told = flat.alias("a").join(F.broadcast(heavy.alias("b")), on, "left").select("a.*", "b._heavy")
+    told = flat.alias("a").join(F.broadcast(heavy.alias("b")), on, "left").select("a.*", "b._all")
     last = F.struct(F.col(at[timestamp]).cast("bigint").alias("t"), F.col(at[value]).cast("double").alias("v"))
 
     def fold(rows: DataFrame) -> DataFrame:
-        by = [*k, "_heavy"]
+        by = [*k, "_all"]
         once = rows.groupBy(*by, *at.values()).agg(F.count("*").alias("_n"))
         v: Column = F.col(at[value]).cast("double")
         by_name = once.groupBy(*by, at[name]).agg(
@@ -73,9 +81,10 @@ def per_key(df: DataFrame, keys: Sequence[str], name: str = "name", timestamp: s
             F.sum("_n").alias("_n"), F.sum("_bits").alias("_bits"), F.sum("_total").alias("_total"), F.sum("_values").alias("_values"), F.count(at[name]).alias("_names"), F.max("_last").alias("_last")
         )
 
-    light = fold(told.where("_heavy is null").withColumn("_heavy", F.lit(False)).repartition(*k))
-    large = fold(told.where("_heavy is not null"))
+    light = fold(told.where("_all is null").repartition(*k))
+    large = fold(told.where("_all is not null"))
+    is_heavy = F.coalesce(F.col("_n") >= F.lit(share) * F.col("_all"), F.lit(False))  # the sketch names every key with the share
     return light.unionByName(large).select(
         *[F.col(a).alias(c) for c, a in zip(keys, k)], F.col("_n").alias("n_rows"), F.col("_bits").alias("n_bits"), F.coalesce("_total", F.lit(0.0)).alias("total"),
-        F.col("_values").alias("n_values"), F.col("_names").alias("n_names"), F.col("_last.t").alias("last_timestamp"), F.col("_last.v").alias("last_value"), F.col("_heavy").alias("heavy"),
+        F.col("_values").alias("n_values"), F.col("_names").alias("n_names"), F.col("_last.t").alias("last_timestamp"), F.col("_last.v").alias("last_value"), is_heavy.alias("heavy"),
     )

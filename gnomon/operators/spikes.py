@@ -35,6 +35,8 @@ SKETCH_K = 400
 HALO = 40
 #: Hours whose sketches are merged with their neighbours in one window.
 BLOCK = 256
+#: Hours without a context are sketched by blocks, numbered from minus this on.
+POOL = 1 << 40
 #: The chunk of a source that isn't cut.
 WHOLE = -(1 << 63)
 
@@ -148,8 +150,24 @@ def _series(table: pa.Table) -> Series:
     return Series(_column(table, "_i") == 1, _column(table, "_t"), _column(table, "_v"), _column(table, "_halo"), _column(table, "_gap"), _column(table, "_bad"))
 
 
+def _pooled(chunk: np.ndarray, hour: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of hours with so many residuals, whether neither they nor their neighbours can have a context of their own: these
+    need no sketch by the hour. What a chunk's first and last hour have beyond it isn't known, so they may."""
+    last = np.append(chunk[1:] != chunk[:-1], True)
+    first = np.append(True, last[:-1])
+    beside = np.append(~last[:-1] & (hour[1:] == hour[:-1] + 1), False)  # the next one is the next hour
+    around = count.copy()
+    around[beside] += count[1:][beside[:-1]]
+    around[1:][beside[:-1]] += count[:-1][beside[:-1]]
+    own = first | last | (around >= CONTEXT)
+    near = own.copy()
+    near[:-1] |= own[1:] & beside[:-1]
+    near[1:] |= own[:-1] & beside[:-1]
+    return ~near
+
+
 def _profile(keys: list[str]) -> Callable:
-    """Of each own reading its hour, residual and rate; with each hour's first one, what its runs tell of the source."""
+    """Of each own reading its hour (or block of hours), residual and rate; with each hour's first one, what its runs tell of the source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_chunks(batches):
@@ -177,6 +195,9 @@ def _profile(keys: list[str]) -> Callable:
             of_hour[1, begin] = np.add.reduceat(held.astype(np.int64), begin)
             of_hour[2, begin] = level[top]
             of_hour[3, begin] = np.maximum.reduceat(short, begin)
+            count = np.add.reduceat((~np.isnan(spread[own])).astype(np.int64), begin)
+            pooled = np.repeat(_pooled(s.chunk[own][begin], hour[begin], count) & (level[top] == 0), np.diff(np.append(begin, len(own))))
+            hour = np.where(pooled, hour // BLOCK - POOL, hour)
             at = np.full(len(own), np.nan)
             at[begin] = np.where(level[top] > 0, s.v[own][top], np.nan)
             where = pa.array(s.at[own])
@@ -437,11 +458,12 @@ def judge_readings(readings: DataFrame, limits: DataFrame, source: str = "name",
     inside = F.col("_hour") - block * BLOCK
     to = F.array_compact(F.array(block, F.when(inside == 0, block - 1), F.when(inside == BLOCK - 1, block + 1)))  # and to its neighbours' windows
     near = Window.partitionBy(*[f"n{c}" for c in src], "_to").orderBy("_hour").rangeBetween(-1, 1)
-    local = hours.select(*named("n", part), "_hour", "_k", "_n", block.alias("_block"), F.explode(to).alias("_to")).withColumns({"_near": F.kll_merge_agg_double("_k").over(near), "_count": F.sum("_n").over(near)})
+    local = hours.where(F.col("_hour") > -(POOL // 2)).select(*named("n", part), "_hour", "_k", "_n", block.alias("_block"), F.explode(to).alias("_to")).withColumns({"_near": F.kll_merge_agg_double("_k").over(near), "_count": F.sum("_n").over(near)})
     nparts = [f"n{c}" for c in part]
     entry = F.when(F.col("_count") >= CONTEXT, F.struct("_hour", _iqr(F.col("_near")).alias("_iqr")))  # null, and not collected, elsewhere
     local = local.where(F.col("_to") == F.col("_block")).groupBy(*nparts, floor_div(F.col("_hour"), 64).alias("_b")).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     local = local.groupBy(*nparts).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_m"))).alias("_locals"))
+    # every part has its first hour there, which is never pooled
     scale = local.join(of_source, [F.col(f"n{c}") == F.col(f"w{c}") for c in src])
 
     fenced = cut.join(scale.hint("shuffle_hash"), [F.col(c) == F.col(f"n{c}") for c in part])

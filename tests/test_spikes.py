@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from gnomon.operators.spikes import CALM, EXPAND, judge_readings, thin
+from gnomon.operators.spikes import CALM, EXPAND, _pooled, judge_readings, thin
 
 READINGS = "db string, namespace string, metric string, timestamp long, value double, name string, stuck int"
 LIMITS = "db string, namespace string, metric string, value_low double, value_high double"
@@ -127,6 +127,13 @@ def test_cuts_beside_stuck_stretches_change_nothing(spark, rows):
         assert rows(judge_readings(df, limits, rows_per_chunk=size).select(*columns)) == whole
 
 
+def test_hours_without_a_context_are_pooled():
+    chunk, hour = np.array([0] * 9 + [1] * 3), np.array([0, 1, 2, 5, 6, 7, 8, 9, 10, 3, 4, 5])
+    count = np.array([2, 2, 2, 2, 2, 30, 20, 2, 2, 1, 1, 1])
+    # 7 and 8 have over 48 around them; 6 and 9 are counted into theirs; 0 and 10, 3 and 5 are at ends, with their neighbours
+    assert _pooled(chunk, hour, count).tolist() == [False, False, True, True, False, False, False, False, False, False, False, False]
+
+
 def test_thin_ends():
     rng = random.Random(5)
     for _ in range(200):

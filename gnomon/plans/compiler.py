@@ -150,28 +150,36 @@ def _temporal(s: A.Select, m: Metric, df: DataFrame, now_ms: int) -> DataFrame:
     spark = df.sparkSession
     integral = i.agg == "count"
     kind: T.DataType = T.LongType() if integral else T.DoubleType() if i.agg == "avg" else m.fields["value"].type
-    parts = []
-    for n, p in enumerate(all_):
-        inside = df.where((F.col("timestamp") >= p.lower) & (F.col("timestamp") <= p.upper))
-        got = inside.groupBy(_bucket(p).alias("_k")).agg(_aggregate(i, m).cast(kind).alias("_v"))
-        if i.distinct:
-            part = got.where(F.col("_v") > 0)
-        else:
-            spine = None
-            for a, b in p.keep:
-                run = spark.range(a, b + 1).withColumnRenamed("id", "_k")
-                spine = run if spine is None else spine.unionByName(run)
-            part = spine.join(got, "_k", "left").withColumn("_v", F.coalesce("_v", F.lit(0).cast(kind)))
-        ub = F.lit(p.upper).cast("bigint") - F.col("_k") * p.ms
-        part = part.select(ub.alias("timestamp"), F.col("_v").alias("value"), F.greatest(ub - p.ms, F.lit(p.lower).cast("bigint")).alias("lowerBound"), ub.alias("upperBound"))
-        # the future is only counted
-        parts.append(part if i.agg == "count" and not i.distinct else part.where(F.col("lowerBound") < now_ms))
-    if not parts:
+    if not all_:
         schema = T.StructType([T.StructField("timestamp", T.LongType()), T.StructField("value", kind), T.StructField("lowerBound", T.LongType()), T.StructField("upperBound", T.LongType())])
         return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+
+    def each(of) -> Column:
+        """What ``of`` gives for the spine that ``_i`` names."""
+        out = of(all_[0])
+        for n, p in enumerate(all_[1:], 1):
+            out = F.when(F.col("_i") == n, of(p)).otherwise(out)
+        return out
+
+    # spans don't overlap, so a row has one spine at most, and one pass serves them all
+    inside = [(F.col("timestamp") >= p.lower) & (F.col("timestamp") <= p.upper) for p in all_]
+    some, which = inside[0], F.lit(0)
+    for n, cond in enumerate(inside[1:], 1):
+        some, which = some | cond, F.when(cond, n).otherwise(which)
+    got = df.where(some).withColumn("_i", which).groupBy("_i", each(_bucket).alias("_k")).agg(_aggregate(i, m).cast(kind).alias("_v"))
+    if i.distinct:
+        part = got.where(F.col("_v") > 0)
+    else:
+        spine = None
+        for n, p in enumerate(all_):
+            for a, b in p.keep:
+                run = spark.range(a, b + 1).select(F.lit(n).alias("_i"), F.col("id").alias("_k"))
+                spine = run if spine is None else spine.unionByName(run)
+        part = spine.join(got, ["_i", "_k"], "left").withColumn("_v", F.coalesce("_v", F.lit(0).cast(kind)))
+    ub = each(lambda p: F.lit(p.upper).cast("bigint") - F.col("_k") * p.ms)
+    out = part.select(ub.alias("timestamp"), F.col("_v").alias("value"), F.greatest(ub - s.group.ms, each(lambda p: F.lit(p.lower).cast("bigint"))).alias("lowerBound"), ub.alias("upperBound"))
+    if i.agg != "count" or i.distinct:  # the future is only counted
+        out = out.where(F.col("lowerBound") < now_ms)
     descending = s.order is not None and s.order.field == "timestamp" and s.order.descending
     if s.limit is not None:  # the last ones of the order asked for
         out = _sorted(out, "timestamp", not descending).limit(s.limit)

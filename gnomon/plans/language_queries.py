@@ -158,6 +158,9 @@ _T = NOW - 7 * DAY
 _add("temporal_where_gte", f"SELECT count(*) FROM events WHERE timestamp >= {_T} GROUP BY INTERVAL 1 d", _buckets("count(*)", DAY, lower=str(_T), future=True))
 _add("temporal_where_lt", f"SELECT count(*) FROM events WHERE timestamp < {_T} GROUP BY INTERVAL 7 d", _buckets("count(*)", 7 * DAY, upper=str(_T - 1), future=True))
 _add("temporal_where_range", f"SELECT sum(value) FROM events WHERE timestamp IN ({_T}, {NOW}) GROUP BY INTERVAL 5 h", _buckets("round(sum(value), 6)", 5 * 3_600_000, lower=str(_T), upper=str(NOW)))
+_OR = ((NOW - 20 * DAY, NOW - 15 * DAY - 1), (NOW - 5 * DAY, NOW - DAY), (NOW - 12 * DAY, NOW - 11 * DAY))
+_add("temporal_where_or", "SELECT sum(value) FROM events WHERE " + " OR ".join(f"timestamp IN ({a}, {b})" for a, b in _OR) + " GROUP BY INTERVAL 7 h",
+     " UNION ALL ".join(f"SELECT * FROM ({_buckets('round(sum(value), 6)', 7 * 3_600_000, lower=str(a), upper=str(b))})" for a, b in _OR))
 _add("temporal_since", "SELECT count(*) FROM events GROUP BY INTERVAL 6 h SINCE 5 d", _buckets("count(*)", DAY // 4, lower=str(NOW - 5 * DAY), future=True))
 _add("temporal_limit", "SELECT count(*) FROM events GROUP BY INTERVAL 1 d LIMIT 3", _buckets("count(*)", DAY, future=True, tail="ORDER BY ub DESC LIMIT 3"))
 _add("temporal_desc_limit", "SELECT count(*) FROM events GROUP BY INTERVAL 1 d ORDER BY timestamp DESC LIMIT 3", _buckets("count(*)", DAY, future=True, tail="ORDER BY ub LIMIT 3"))
@@ -169,7 +172,7 @@ def _rounded(name: str, column: str = "value") -> None:
     QUERIES[name] = lambda spark, sf: ask(spark, sf).withColumn(column, F.round(column, 6))
 
 
-for _n in ("group_sum", "group_order_value_limit", "temporal_sum", "temporal_where_range"):
+for _n in ("group_sum", "group_order_value_limit", "temporal_sum", "temporal_where_range", "temporal_where_or"):
     _rounded(_n)
 for _n in ("global_sum", "global_sum_where"):
     _rounded(_n, "sum_value")

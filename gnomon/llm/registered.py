@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .contamination import find_leaks, remove_leaks
 from .mixing import mix_sources, short_sources
-from .mojibake import find_garbled
+from .mojibake import character_statistics, find_garbled
 
 
 def table(spark, sf, name):
@@ -25,6 +25,16 @@ def p7_without_leaks(spark, sf):
     return remove_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items"))
 
 
+def p7_cleaned(spark, sf):
+    """How many documents and items share a leak before and after the cut."""
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items")
+
+    def pairs(df, name):
+        return find_leaks(df, items).select("doc_id", "item_id").distinct().agg(F.count("*").alias(name))
+
+    return pairs(docs, "pairs_before").crossJoin(F.broadcast(pairs(remove_leaks(docs, items), "pairs_after")))  # one row each
+
+
 def _mix(spark, sf, **how):
     return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), **how)
 
@@ -65,9 +75,18 @@ def p9_restored(spark, sf):
     return find_garbled(table(spark, sf, "documents"))
 
 
+def p9_round_trip(spark, sf):
+    """The passages of the test items, clean texts, read wrongly by us, found and restored by the documents' statistics."""
+    items = table(spark, sf, "eval_items")
+    misread = F.decode(F.encode("passage", "UTF-8"), "ISO-8859-1")
+    model = character_statistics(table(spark, sf, "documents"))
+    return find_garbled(items.select("item_id", misread.alias("text")), "item_id", model=model).select(F.col("doc_id").alias("item_id"), "restored", "whole")
+
+
 QUERIES = {
     "p7_found": p7_found, "p7_leaked_spans": p7_leaked_spans, "p7_without_leaks": p7_without_leaks,
     "p8_found": p8_found, "p8_mix_report": p8_mix_report, "p8_targets_met": p8_targets_met, "p8_mix": p8_mix, "p8_mix_by_text_alone": p8_mix_by_text_alone,
+    "p7_cleaned": p7_cleaned, "p9_round_trip": p9_round_trip,
     "p9_found": p9_found, "p9_restored": p9_restored,
 }
 #: Words by a plainer rule (no compatibility forms, texts with doubtful tags read one way), seeds by a join, then every alignment judged word by word.
@@ -105,6 +124,8 @@ SELECT doc_id, item_id FROM exact UNION SELECT doc_id, item_id FROM loose"""
 
 ORACLES: dict[str, str] = {
     "p7_found": _LEAKS,
+    "p7_cleaned": f"SELECT count(*) AS pairs_before, CAST(0 AS BIGINT) AS pairs_after FROM ({_LEAKS})",
+    "p9_round_trip": r"SELECT item_id, passage AS restored, true AS whole FROM eval_items WHERE regexp_matches(passage, '[^\x00-\x7F]')",
     "p8_targets_met": "SELECT t.source, t.target_weight, t.max_repeats, count(d.doc_id) AS n_docs, true AS share_met, true AS repeats_kept FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY ALL",
     # any common token count gives the same list; SQL has characters
     "p8_found": """WITH size AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY source)

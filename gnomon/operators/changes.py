@@ -66,9 +66,13 @@ def _class(width: Column) -> Column:
     return F.when(width <= 1, F.lit(0)).otherwise(F.ceil(F.log2(width.cast("double"))).cast("int"))
 
 
-def _salts(state: DataFrame) -> int:
-    """As many as keep all cores busy with one scope's bits, within bounds."""
-    return max(4, min(64, state.sparkSession.sparkContext.defaultParallelism))
+#: Rows that all scopes together may be repeated to.
+REPEATED = 8_000_000
+
+
+def _salts(scopes: DataFrame) -> int:
+    """As many as keep all cores busy with one scope's bits, 4 to 64, but no more than repeat the scopes to ``REPEATED`` rows."""
+    return max(1, min(max(4, min(64, scopes.sparkSession.sparkContext.defaultParallelism)), REPEATED // max(1, scopes.count())))
 
 
 def current_bits(state: DataFrame, salts: int | None = None) -> DataFrame:
@@ -76,14 +80,14 @@ def current_bits(state: DataFrame, salts: int | None = None) -> DataFrame:
 
     Removals are matched by equality joins. A shard range goes, by its width, to the one or two
     power-of-two buckets of time that it meets; a bit asks at the levels its metric has. Scope rows, ranges too, are repeated
-    over ``salts`` (by default as many as the cluster has cores, 4 to 64) and bits salted by id, so that a metric or an
+    over ``salts`` (by default as many as the cluster has cores, 4 to 64, fewer where scopes are very many) and bits salted by id, so that a metric or an
     evicted range with most of the bits is spread over tasks; where scopes are few, the planner broadcasts them by its own size threshold instead. The folded scopes are
     written to the shared folder first, so the feed is read two times, not four, and their size is known.
     """
-    salts = _salts(state) if salts is None else salts
     seq = F.struct("ts", "entry_no")
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     scopes = write_scratch(state.where("kind <> 'bit'"), "scopes")  # read three times below, folded once
+    salts = _salts(scopes) if salts is None else salts
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     spaces = scopes.where("kind = 'namespace'").groupBy("db", "namespace").agg(F.max(seq).alias("_space")).select("*", salt)
     level = _class(F.col("hi") - F.col("lo"))
     shards = scopes.where("kind = 'shard' and lo < hi").withColumn("_level", level)

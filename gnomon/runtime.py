@@ -57,8 +57,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def kept(df: DataFrame, path: str) -> DataFrame:
     """``df``, read straight from ``path``, which is removed once no plan over it is left."""
-    leaf = df._jdf.queryExecution().analyzed().collectLeaves().apply(0)
-    _tables[path] = df.sparkSession, df.sparkSession.sparkContext._jvm.java.lang.ref.WeakReference(leaf.relation().location())
+    try:
+        leaf = df._jdf.queryExecution().analyzed().collectLeaves().apply(0)
+        _tables[path] = df.sparkSession, df.sparkSession.sparkContext._jvm.java.lang.ref.WeakReference(leaf.relation().location())
+    except Exception:  # read by another kind of source: the table stays until Python exits
+        pass
     return df
 
 

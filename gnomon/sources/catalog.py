@@ -111,12 +111,12 @@ class Catalog:
             return self.spark.read.schema(schema).parquet(data) if self.files.names(data) else self.spark.createDataFrame([], schema)
 
         def stream() -> DataFrame:
-            return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(data)
+            return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(self.files.make(data))
 
         def news() -> DataFrame:
             """The stream of records appended after this call. Files that were there before are left out by time, which the scan
             prunes by, and the youngest of them, beside which others may yet appear, by name."""
-            df = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).option("pathGlobFilter", "part-*.parquet").parquet(data)
+            df = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).option("pathGlobFilter", "part-*.parquet").parquet(self.files.make(data))
             files = self._files(data)
             newest = files.agg(F.max("modificationTime")).first()[0]
             if newest is None:

@@ -25,6 +25,12 @@ class Files:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def make(self, path: str) -> str:
+        """The folder, made if it isn't there."""
+        p, fs = self._at(path)
+        fs.mkdirs(p)
+        return path
+
     def delete(self, path: str) -> None:
         p, fs = self._at(path)
         fs.delete(p, True)

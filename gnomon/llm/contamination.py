@@ -25,7 +25,7 @@ LOOSE, ONE_IN = 30, 8
 #: into at most wrong + 1 stretches, and ceil((L - w) / (w + 1)) >= 6 for every L >= 30, w <= L/8.
 SEED = 6
 #: Item text, in characters, that one broadcast index may hold; more items are searched in several blocks.
-BLOCK_CHARS = 64 << 20
+BLOCK_CHARS = 16 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 

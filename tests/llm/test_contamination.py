@@ -125,7 +125,7 @@ def test_nothing_is_left_to_find_whatever_the_blocks(spark, rows, how):
     docs, items = planted(spark)
     whole = rows(find_leaks(docs, items))
     want = rows(remove_leaks(docs, items, how))
-    for chars in (64 << 20, 1500):
+    for chars in (16 << 20, 1500):
         assert rows(find_leaks(docs, items, block_chars=chars)) == whole
         left = remove_leaks(docs, items, how, block_chars=chars)
         assert left.columns == docs.columns and rows(left) == want

@@ -56,6 +56,20 @@ def wide_bytes(c: str, codec: str) -> bytes:
         return b""
 
 
+@lru_cache(4)
+def double_bytes(codec: str) -> np.ndarray:
+    """Code point by first and second byte of an encoding's two-byte characters, 0 for none."""
+    out = np.zeros((256, 256), np.int32)
+    for a in range(0x81, 0x100):
+        for b in range(0x40, 0x100):
+            try:
+                c = bytes([a, b]).decode(codec)
+            except UnicodeDecodeError:
+                continue
+            out[a, b] = ord(c) if len(c) == 1 else 0
+    return out
+
+
 #: The true encoding of text that went through the same misreading of UTF-8 two times.
 TWICE = "utf-8 twice"
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..runtime import over_cores, ship, write_scratch
-from .encodings import DECODE, DOUBLE, ENCODE, PAIRS, SINGLE, TWICE, WIDE, utf8_units, wide_bytes
+from .encodings import DECODE, DOUBLE, ENCODE, PAIRS, SINGLE, TWICE, WIDE, double_bytes, utf8_units, wide_bytes
 from .words import portions
 
 #: Log probabilities of leaving and of resuming the clean state; and what a pair that isn't of the commonest costs more.
@@ -216,10 +216,11 @@ def character_statistics(docs: DataFrame, text: str = "text") -> Characters:
                 bad[doc[plainly_garbled(cp)]] = True
             at = at[~bad[doc[at]]]
             before = np.concatenate([[32], context(cp)[:-1]])[at] if len(cp) else cp
-            kind = _CLASSES + script(before)
-            own = cp[at]
-            keys = np.concatenate([_keys(before, own), _keys(kind, own), _keys(kind, np.zeros_like(own)), _keys(np.full(len(at), _CLASSES + _ANY), own)])
-            once = np.unique(np.tile(doc[at].astype(np.int64), 4) << 42 | keys) & (1 << 42) - 1
+            pairs = np.unique(doc[at].astype(np.int64) << 42 | _keys(before, cp[at]))
+            d, b, own = pairs >> 42 << 42, pairs >> 21 & (1 << 21) - 1, pairs & (1 << 21) - 1
+            kind = _CLASSES + script(b)
+            coarse = np.unique(np.concatenate([d | _keys(kind, own), d | _keys(kind, np.zeros_like(own)), d | _keys(np.full(len(own), _CLASSES + _ANY), own)]))
+            once = np.concatenate([pairs, coarse]) & (1 << 42) - 1
             k, n = np.unique(once, return_counts=True)
             place, around = surroundings(cp)
             clean = ~bad[doc[place]]
@@ -242,24 +243,19 @@ def character_statistics(docs: DataFrame, text: str = "text") -> Characters:
 def _double_units(cp: np.ndarray, b: np.ndarray, codec: str) -> tuple[np.ndarray, np.ndarray]:
     """As ``utf8_units``, for an encoding with two-byte characters: read from the left, a run at a time."""
     n = len(cp)
-    u, size = np.zeros(n, np.int32), np.zeros(n, np.int8)
-    i = 0
-    for s in np.flatnonzero((b >= 0x81)).tolist():
-        if s < i:
-            continue
-        if s + 1 < n:
-            second = int(b[s + 1]) if b[s + 1] >= 0 else int(cp[s + 1]) if cp[s + 1] < 128 else -1
-            if second >= 0x40:
-                try:
-                    c = bytes([int(b[s]), second]).decode(codec)
-                    if len(c) == 1:
-                        u[s], size[s], i = ord(c), 2, s + 2
-                        continue
-                except UnicodeDecodeError:
-                    pass
-        if codec == "cp932" and 0xA1 <= b[s] <= 0xDF:
-            u[s], size[s] = 0xFF61 + int(b[s]) - 0xA1, 1
-        i = s + 1
+    u, size, covered = np.zeros(n, np.int32), np.zeros(n, np.int8), np.zeros(n + 1, bool)
+    second = np.append(np.where(b[1:] >= 0, b[1:], np.where(cp[1:] < 128, cp[1:], 0)), 0)
+    says = np.where(b >= 0x81, double_bytes(codec)[np.maximum(b, 0), second], 0)
+    chosen, free = [], 0
+    for s in np.flatnonzero(says).tolist():
+        if s >= free:
+            chosen.append(s)
+            free = s + 2
+    at = np.array(chosen, np.int64)
+    u[at], size[at], covered[at + 1] = says[at], 2, True
+    if codec == "cp932":  # half-width letters have one byte
+        one = (b >= 0xA1) & (b <= 0xDF) & (size == 0) & ~covered[:n]
+        u[one], size[one] = 0xFF61 + b[one].astype(np.int32) - 0xA1, 1
     return u, size
 
 

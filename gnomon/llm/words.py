@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 #: Tags and link targets are skipped; an entity is part of the word around it until it is unescaped;
 #: joiners, soft hyphens and combining marks are parts of words too.
@@ -20,13 +21,21 @@ _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
 
-def _clean(piece: str) -> list[str]:
+def _clean(piece: str) -> tuple[str, ...]:
+    """The words of a piece; the usual ones are worked out once."""
+    return _usual(piece) if len(piece) <= 40 else _cleaned(piece)
+
+
+def _cleaned(piece: str) -> tuple[str, ...]:
     if "&" in piece:
         piece = html.unescape(piece)
     if piece.isascii():
         found = piece.lower()
-        return [found] if found.isalnum() else _WORD.findall(found)
-    return _WORD.findall(unicodedata.normalize("NFKC", piece.translate(_INVISIBLE)).casefold())
+        return (found,) if found.isalnum() else tuple(_WORD.findall(found))
+    return tuple(_WORD.findall(unicodedata.normalize("NFKC", piece.translate(_INVISIBLE)).casefold()))
+
+
+_usual = lru_cache(1 << 17)(_cleaned)
 
 
 def has_doubtful_tags(text: str) -> bool:
